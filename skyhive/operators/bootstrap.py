@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyhive.operators.scale import digest_rank
 from skyhive.functions.scales import BAND_CONFIDENCE, BAND_NAMES, CONFIDENCE_NAMES, pm25_class
 
 # Fixed values
@@ -55,8 +56,7 @@ def station_sums(wide: DataFrame, models: list[str]) -> DataFrame:
 def station_draws(stations: DataFrame, draws: int, seed: int) -> DataFrame:
     """How often each draw picked each station: as many picks per draw as there are stations."""
     total = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
-    indexed = stations.select("station_id", (F.row_number().over(Window.orderBy("station_id")) - 1)
-                              .cast("bigint").alias("pos"))
+    indexed = digest_rank(stations.select("station_id"), "station_id")
     # one row per slot, spread over the cluster, then one per slot and draw
     slots = indexed.select(F.col("pos").alias("slot")).repartition("slot").withColumn("n", total)
     picks = (slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

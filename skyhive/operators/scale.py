@@ -40,6 +40,22 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def digest_rank(df: DataFrame, *key, seed: str = "") -> DataFrame:
+    """Adds `pos`, the place 0, 1, 2, ... of each row in the order of a digest of its key.
+
+    Equal to numbering all rows in one sorted list, but done in 4096 shares: places inside a share, plus
+    the sizes of the shares before it.
+    """
+    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key])
+    rows = df.withColumn("_md", F.md5(text)).withColumn("_share", F.substring("_md", 1, 3))
+    sizes = rows.groupBy("_share").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_share")) - F.col("_size"))
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_share").orderBy("_md", *key)))
+    return (inside.join(F.broadcast(before), "_share")  # at most 4096 rows
+            .withColumn("pos", (F.col("_before") + F.col("_at") - 1).cast("bigint"))
+            .select(*df.columns, "pos"))
+
+
 def value_bucket(value: Column) -> Column:
     """A coarse order-preserving bucket, 4096 to each doubling of magnitude."""
     size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_DOUBLING) + F.lit(BUCKET_SHIFT)
