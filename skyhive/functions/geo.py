@@ -56,6 +56,23 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), chord))))
 
 
+def unit_xyz(lat, lon) -> tuple[Column, Column, Column]:
+    """A point on the unit sphere."""
+    lat, lon = F.radians(_col(lat)), F.radians(_col(lon))
+    return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+
+
+def chord2(ax, ay, az, bx, by, bz) -> Column:
+    """Squared straight distance of two points on the unit sphere."""
+    dx, dy, dz = (_col(a) - _col(b) for a, b in ((ax, bx), (ay, by), (az, bz)))
+    return dx * dx + dy * dy + dz * dz
+
+
+def chord_km(squared: Column) -> Column:
+    """Great-circle kilometres of a squared chord; the same distance as haversine_km."""
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(squared) / 2))
+
+
 def planar_offset_km(lat, lon, from_lat, from_lon) -> tuple[Column, Column]:
     """(east, north) kilometres from the second point to the first, scaled at the first point's latitude."""
     lat, lon, from_lat, from_lon = (_col(v) for v in (lat, lon, from_lat, from_lon))

@@ -18,6 +18,7 @@ MIN_KM = 0.5
 # Square mesh levels: level n has 2**n columns around the globe, the finest about 2.4 km wide.
 LEVELS = range(2, 15)
 LIST_FACTOR = 4
+UNIT_STEPS = 3
 
 
 def _mesh(lat: Column, lon: Column, level: Column) -> tuple[Column, Column]:
@@ -35,6 +36,13 @@ def _columns(level: Column) -> Column:
     return F.pow(F.lit(2.0), level).cast("bigint")
 
 
+def _reach(level: Column) -> Column:
+    """Radians within which the sites of a 3 x 3 block must lie, seen from its middle square."""
+    half = F.radians(F.lit(360.0) / F.pow(F.lit(2.0), level))  # half of an offset of two squares
+    bound = 2 * F.asin(F.least(F.lit(1.0), F.sin(F.least(half, F.lit(math.pi / 2))) * F.lit(math.sqrt(2.0))))
+    return F.when(level == 0, F.lit(math.pi)).otherwise(bound * (1 + 1e-9))
+
+
 def nearest_sites(targets: DataFrame, sites: DataFrame, m: int, by: list[str] | None = None,
                   skip_same: bool = False) -> DataFrame:
     """The m nearest sites of each target: target, site, km, plus the `by` columns both sides share.
@@ -44,7 +52,7 @@ def nearest_sites(targets: DataFrame, sites: DataFrame, m: int, by: list[str] |
 
     For each target the finest mesh level is chosen whose 3 x 3 block already holds m sites. That bounds
     the distance to the m-th site, and only mesh squares within that bound are searched, so the work per
-    target follows m and not the number of sites. Where sites are too few, the search covers the globe.
+    target follows m and not the number of sites, and crowded places use fine squares. Where sites are too few, the search covers the globe.
     """
     by = list(by or [])
     need = m + 1 if skip_same else m
@@ -64,30 +72,38 @@ def nearest_sites(targets: DataFrame, sites: DataFrame, m: int, by: list[str] |
             .groupBy(*keys).agg(F.max("level").alias("level")))
 
     placed = targets.join(best, keys, "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    half = F.radians(F.lit(360.0) / F.pow(F.lit(2.0), F.col("level")))  # half of a 2-square offset
-    bound = F.when(F.col("level") == 0, F.lit(math.pi)).otherwise(
-        2 * F.asin(F.least(F.lit(1.0), F.sin(F.least(half, F.lit(math.pi / 2))) * F.lit(math.sqrt(2.0)))))
-    placed = placed.withColumn("reach", bound * (1 + 1e-9))
-    lat, lon, reach = F.col("lat"), F.col("lon"), F.degrees("reach")
-    polar = F.abs(lat) + reach >= 90.0
-    swing = F.when(polar, F.lit(180.0)).otherwise(
-        F.degrees(F.asin(F.least(F.lit(1.0), F.sin("reach") / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))))))
-    width = F.lit(360.0) / F.pow(F.lit(2.0), F.col("level"))
-    first_row = F.floor((F.greatest(F.lit(-90.0), lat - reach) + 90.0) / width)
-    last_row = F.floor((F.least(F.lit(90.0), lat + reach) + 90.0) / width)
-    first_col, last_col = F.floor((lon - swing + 180.0) / width), F.floor((lon + swing + 180.0) / width)
-    full = last_col - first_col + 1 >= _columns(F.col("level"))
-    searched = (placed
+    unit_level = F.col("level") + UNIT_STEPS
+    own_row, own_col = _mesh(F.col("lat"), F.col("lon"), unit_level)
+    placed = placed.withColumn("own_my", own_row).withColumn("own_mx", own_col)
+
+    # The search runs once per occupied unit, an eighth of a square wide, and not once per target: few
+    # enough to save work, many enough to keep every task busy.
+    square = [*by, "level", "own_my", "own_mx"]
+    width, unit = (F.lit(360.0) / F.pow(F.lit(2.0), lv) for lv in (F.col("level"), unit_level))
+    count = _columns(F.col("level"))
+    south, west = F.col("own_my") * unit - 90.0, F.col("own_mx") * unit - 180.0
+    reach = F.degrees(_reach(F.col("level")))
+    high = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(south + unit)))
+    swing = F.when(high + reach >= 90.0, F.lit(360.0)).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(high))))))
+    first_row = F.floor((F.greatest(F.lit(-90.0), south - reach) + 90.0) / width)
+    last_row = F.floor((F.least(F.lit(90.0), south + unit + reach) + 90.0) / width)
+    first_col, last_col = F.floor((west - swing + 180.0) / width), F.floor((west + unit + swing + 180.0) / width)
+    columns = F.when(last_col - first_col + 1 >= count, F.sequence(F.lit(0), count - 1)).otherwise(
+        F.sequence(first_col, last_col))
+    searched = (placed.select(*square).distinct()
                 .withColumn("my", F.explode(F.sequence(first_row, last_row)))
-                .withColumn("mx", F.explode(F.when(full, F.sequence(F.lit(0), _columns(F.col("level")) - 1))
-                                            .otherwise(F.sequence(first_col, last_col))))
-                .withColumn("mx", F.pmod(F.col("mx"), _columns(F.col("level")))))
-
-    meshed = _at_levels(sites, [0, *levels]).select(
-        *by, "level", "my", "mx", "site", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    exact = geo.haversine_km("lat", "lon", "s_lat", "s_lon")
-    pairs = (searched.join(meshed, [*by, "level", "my", "mx"]).withColumn("km", exact)
-             .where(F.col("km") <= F.col("reach") * geo.EARTH_RADIUS_KM + 1e-6))
+                .withColumn("mx", F.explode(columns)).withColumn("mx", F.pmod(F.col("mx"), count)))
+    tx, ty, tz = (c.alias(n) for c, n in zip(geo.unit_xyz("lat", "lon"), ("tx", "ty", "tz")))
+    sx, sy, sz = (c.alias(n) for c, n in zip(geo.unit_xyz("lat", "lon"), ("sx", "sy", "sz")))
+    meshed = _at_levels(sites, [0, *levels]).select(*by, "level", "my", "mx", "site", sx, sy, sz)
+    in_reach = searched.join(meshed, [*by, "level", "my", "mx"]).select(*square, "site", "sx", "sy", "sz")
+    widest = F.least(F.lit(2.0), 2 * F.sin(_reach(F.col("level")) / 2) + 1e-12)
+    # Trigonometry is done before the join; a pair costs three differences and one arc sine.
+    ready = placed.select(*keys, "level", "own_my", "own_mx", tx, ty, tz, (widest * widest).alias("widest2"))
+    chord2 = geo.chord2("tx", "ty", "tz", "sx", "sy", "sz")
+    pairs = (ready.join(in_reach, square).where(chord2 <= F.col("widest2"))
+             .withColumn("km", geo.chord_km(chord2)))
     if skip_same:
         pairs = pairs.where(F.col("site") != F.col("target"))
     pairs = pairs.select(*keys, "site", geo.fixed6("km").alias("km"))

@@ -70,10 +70,11 @@ def columnar(df: DataFrame, keys: list[str], columns: dict[str, int | None], id_
     entry = F.struct(F.col(id_column).alias("_id"), *[
         (F.round(c, digits) if digits is not None else F.col(c)).alias(c) for c, digits in columns.items()])
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    field = lambda name: lambda e: e[name]
     # ids beyond 2**53 lose digits in JSON numbers, so they travel as hexadecimal text
     body = F.struct(*keys, F.size("_e").alias("count"),
                     F.transform("_e", lambda e: F.lower(F.hex(e["_id"]))).alias("cell"),
-                    *[F.transform("_e", lambda e, c=c: e[c]).alias(c) for c in columns])
+                    *[F.transform("_e", field(c)).alias(c) for c in columns])
     return packed.select(*keys, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 

@@ -75,33 +75,34 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     placed = (coarse
               .withColumn("n", F.sum("_c").over(by_key))
               .withColumn("_before", F.sum("_c").over(by_key.orderBy("_b")) - F.col("_c")))
-    names = list(probs)
-    wanted = []
-    for name in names:
-        at = F.lit(float(probs[name])) * (F.col("n") - 1)
-        wanted.append(F.struct(F.lit(name).alias("name"), at.alias("at"), F.floor(at).alias("pos")))
-        wanted.append(F.struct(F.lit(name).alias("name"), at.alias("at"), F.ceil(at).alias("pos")))
-    hits = (placed.withColumn("_w", F.explode(F.filter(F.array(*wanted), lambda w: (
-                (w["pos"] >= F.col("_before")) & (w["pos"] < F.col("_before") + F.col("_c"))))))
-            .select(*keys, "_b", "n", "_before", "_w.name", "_w.at", "_w.pos").distinct())
-    slots = hits.groupBy(*keys, "_b").agg(
-        F.max("n").alias("n"), F.max("_before").alias("_before"),
-        F.collect_set(F.struct("name", "at", "pos")).alias("_want"))  # at most two entries per quantile
+    def wanted(n: Column) -> Column:
+        """Two neighbouring positions per quantile; the value lies between them."""
+        slots = []
+        for name, p in probs.items():
+            at = F.lit(float(p)) * (n - 1)
+            for pos in (F.floor(at), F.ceil(at)):
+                slots.append(F.struct(F.lit(name).alias("name"), at.alias("at"), pos.alias("pos")))
+        return F.array(*slots)
+
+    def holds(first: Column, size: Column):
+        return lambda w: (w["pos"] >= first) & (w["pos"] < first + size)
+
+    hits = placed.where(F.exists(wanted(F.col("n")), holds(F.col("_before"), F.col("_c"))))
     match = reduce(lambda a, b: a & b,
                    [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.col("r._b") == F.col("s._b"))
-    inside = (rows.alias("r").join(slots.select(*keys, "_b").alias("s"), match, "left_semi")
-              .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    inside = (rows.alias("r").join(hits.select(*keys, "_b", "n", "_before").alias("s"), match)
+              .select("r.*", "s.n", "s._before")
+              .groupBy(*keys, "_b", "_v", "n", "_before").agg(F.count(F.lit(1)).alias("_c")))
     step = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ordered = inside.withColumn("_in", F.sum("_c").over(step) - F.col("_c"))
-    found = (ordered.alias("r").join(slots.alias("s"), match)
-             .select(*[F.col(f"r.{k}").alias(k) for k in keys], "n", F.col("_v"), F.col("_c"),
-                     (F.col("_before") + F.col("_in")).alias("_from"), F.explode("_want").alias("_w"))
-             .where((F.col("_w.pos") >= F.col("_from")) & (F.col("_w.pos") < F.col("_from") + F.col("_c"))))
-    low = {n: F.max(F.when((F.col("_w.name") == n) & (F.col("_w.pos") == F.floor("_w.at")), F.col("_v")))
-           for n in names}
-    high = {n: F.max(F.when((F.col("_w.name") == n) & (F.col("_w.pos") == F.ceil("_w.at")), F.col("_v")))
-            for n in names}
-    part = {n: F.max(F.when(F.col("_w.name") == n, F.col("_w.at") - F.floor("_w.at"))) for n in names}
-    return found.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[(low[n] + (high[n] - low[n]) * part[n]).alias(n) for n in names])
-
+    found = (inside.withColumn("_from", F.col("_before") + F.sum("_c").over(step) - F.col("_c"))
+             .withColumn("_w", F.explode(F.filter(wanted(F.col("n")), holds(F.col("_from"), F.col("_c"))))))
+
+    def at_position(name: str, side) -> Column:
+        return F.max(F.when((F.col("_w.name") == name) & (F.col("_w.pos") == side("_w.at")), F.col("_v")))
+
+    out = []
+    for name in probs:
+        low, high = at_position(name, F.floor), at_position(name, F.ceil)
+        part = F.max(F.when(F.col("_w.name") == name, F.col("_w.at") - F.floor("_w.at")))
+        out.append((low + (high - low) * part).alias(name))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *out)

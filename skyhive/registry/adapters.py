@@ -29,7 +29,7 @@ SHAPES: dict[str, tuple[str, list[str]]] = {
         f"{STATION_ID} AS station_id", "'Station ' || CAST(user_id AS STRING) AS station_name",
         f"{STATION_LAT} AS lat", f"{STATION_LON} AS lon", f"{STATION_CITY} AS city", f"{STATION_STATE} AS state",
         "'pm25' AS parameter", "value", "'ug/m3' AS unit", "ts AS timestamp_utc", "'ok' AS quality_flag",
-        "event_id AS line"]),
+        "event_id AS line", "CASE WHEN user_id % 7 = 3 THEN 'dead' ELSE 'healthy' END AS health"]),
     # parameter by event type
     "readings_multi": ("events", [
         f"{STATION_ID} AS station_id", "'Station ' || CAST(user_id AS STRING) AS station_name",
@@ -85,6 +85,7 @@ SHAPES: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN l_quantity < 5 THEN 'l' WHEN l_quantity < 25 THEN 'n' ELSE 'h' END AS confidence",
         "CASE WHEN l_linenumber % 2 = 0 THEN 'D' ELSE 'N' END AS daynight",
         "CASE WHEN l_linestatus = 'F' THEN 'A_SP' ELSE 'A_NRT' END AS source",
+        "CASE WHEN l_orderkey % 30 IN (5, 11) OR l_partkey % 3 = 0 THEN 'B_SP' ELSE 'A_SP' END AS satellite",
         "CASE WHEN l_linestatus <> 'F' THEN NULL WHEN l_partkey % 40 = 1 THEN 2 WHEN l_linenumber = 7 THEN 3 ELSE 0 END AS type",
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]),
     # overpasses of a coarse raster; 'final' scenes and early ones
@@ -146,6 +147,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "raw_once").unionByName(_utc(again))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per station with position and health."""
+    return load(spark, sf_dir, "readings").groupBy("station_id").agg(
+        *[F.min(c).alias(c) for c in ("station_name", "lat", "lon", "city", "state", "health")],
+        F.count(F.lit(1)).alias("rows"), F.max("timestamp_utc").alias("last_seen"))
+
+
 def ring(points: list[tuple[str, str]]) -> str:
     return "array(" + ", ".join(f"named_struct('lon', {x}, 'lat', {y})" for x, y in points) + ")"
 

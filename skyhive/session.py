@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All timestamps are UTC; partitions rewritten by a sink are only those present in its input."""
+    """All timestamps are UTC. Generated methods above 8,000 bytes are never compiled by the JVM and run
+    an order of magnitude slower, so stages that large use the smaller per-operator methods instead.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -30,9 +33,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read from there: survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write once to the shared folder and read from there.
+
+    For results used more than once: they are worked out a single time, later readers take only the columns
+    they need, the planner knows the size, and the loss of an executor costs nothing.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

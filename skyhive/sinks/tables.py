@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyhive.operators.clean import refilter
 from skyhive.operators.runs import flag_quality
-from skyhive.session import shared_path
+from skyhive.session import cut_lineage
 
 HISTORY_PARTITIONS = ["state", "parameter", "month"]
 
@@ -28,25 +28,18 @@ def replace_partitions(df: DataFrame, path: str, partitions: list[str] | None =
        .partitionBy(*partitions).parquet(path))
 
 
-def _staged(df: DataFrame, label: str) -> DataFrame:
-    """A table that is read and overwritten has to be written elsewhere first."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def refilter_history(spark: SparkSession, path: str, parameters: list[str] | None = None) -> DataFrame:
     """Re-applies the value rules in place; rewrites only partitions that lose rows. Returns drop counts."""
     table = spark.read.parquet(path)
     if parameters:
         table = table.where(F.col("parameter").isin(parameters))
     judged = refilter(table)
-    counts = _staged(judged.groupBy(*HISTORY_PARTITIONS, F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason"))
+    counts = cut_lineage(judged.groupBy(*HISTORY_PARTITIONS, F.coalesce("drop_reason", F.lit("kept")).alias("drop_reason"))
                      .agg(F.count(F.lit(1)).alias("rows")), "refilter-counts")
     touched = counts.where("drop_reason <> 'kept'").select(*HISTORY_PARTITIONS).distinct()
     kept = (judged.where("drop_reason IS NULL").drop("drop_reason")
             .join(touched, HISTORY_PARTITIONS, "left_semi").select(*table.columns))
-    staged = _staged(kept, "refilter-rows")
+    staged = cut_lineage(kept, "refilter-rows")
     replace_partitions(staged, path)
     emptied = touched.join(counts.where("drop_reason = 'kept'"), HISTORY_PARTITIONS, "left_anti")
     for row in emptied.toLocalIterator():  # partitions without a single surviving row: names only
@@ -66,7 +59,7 @@ def refresh_flags(spark: SparkSession, path: str, tie: list[str], **rule) -> Dat
     """Adds or refreshes quality_flag in place; the number of rows must not change. Returns flag counts."""
     table = spark.read.parquet(path)
     before = table.count()
-    flagged = _staged(flag_quality(table, tie, **rule), "flags")
+    flagged = cut_lineage(flag_quality(table, tie, **rule), "flags")
     after = flagged.count()
     if before != after:
         raise RuntimeError(f"flagging changed the number of rows from {before} to {after}")
