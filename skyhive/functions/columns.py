@@ -111,7 +111,8 @@ def wind_cos(u, v) -> Column:
 def compass_from(u, v) -> Column:
     """Where the wind blows from: one of eight points and whole degrees."""
     u, v = _col(u), _col(v)
-    bearing = F.pmod(F.degrees(F.atan2(-u, -v)) + 360.0, F.lit(360.0))
+    calm = (u == 0) & (v == 0)  # negative zeros point south
+    bearing = F.when(calm, F.lit(180.0)).otherwise(F.pmod(F.degrees(F.atan2(-u, -v)) + 360.0, F.lit(360.0)))
     point = F.element_at(F.array(*[F.lit(p) for p in COMPASS]),
                          (F.floor((bearing + 22.5) / 45.0).cast("int") % 8) + 1)
     label = F.concat(point, F.lit(" ("), F.bround(bearing, 0).cast("int").cast("string"), F.lit("°)"))

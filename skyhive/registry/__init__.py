@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("history", "space")
+FAMILIES = ("history", "space", "signals", "validation", "documents")
 
 
 def _load() -> None:

@@ -95,7 +95,7 @@ SHAPES: dict[str, tuple[str, list[str]]] = {
         "CAST((l_suppkey * 13 + l_linenumber * 17 + l_orderkey * 3) % 60 AS INT) AS col",
         "l_linestatus = 'F' AS final",
         "CASE WHEN l_linenumber = 7 THEN CAST(-9999 AS DOUBLE) ELSE l_discount * 0.001E0 END AS no2_trop",
-        "CASE WHEN l_linenumber = 6 THEN CAST(-9999 AS DOUBLE) ELSE l_tax * 20 - 1 END AS aai",
+        "CASE WHEN l_linenumber = 6 THEN CAST(-9999 AS DOUBLE) ELSE l_tax * 20 + 0.3E0 END AS aai",
         "l_quantity * 0.001E0 AS co", "l_extendedprice * 1E-8 AS so2",
         "CASE WHEN l_linenumber = 5 THEN CAST(-9999 AS DOUBLE) ELSE l_quantity * 0.2E0 - 5 END AS u10",
         "CASE WHEN l_linenumber = 5 THEN CAST(-9999 AS DOUBLE) ELSE l_discount * 100 - 4 END AS v10"]),
