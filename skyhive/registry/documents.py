@@ -10,8 +10,9 @@ from skyhive.operators import clean, live, packs, photos, replay, replies, rollu
 from skyhive.operators import stations as ST
 from skyhive.registry.adapters import RES, load, raw, sites
 from skyhive.registry.book import register
-from skyhive.registry.sqltext import aqi_label, cell_of, fixed6, fragment, haversine, pm25_class as sql_class,
-                                      pm25_label as sql_label, query
+from skyhive.registry.sqltext import aqi_label, cell_of, fixed6, fragment, haversine, query
+from skyhive.registry.sqltext import pm25_class as sql_class
+from skyhive.registry.sqltext import pm25_label as sql_label
 from skyhive.session import cut_lineage, shared_path
 
 # ---------------------------------------------------------------- live feed
@@ -134,7 +135,7 @@ def content_matches(spark, sf):
 
 _PHOTO = ["doc_id AS id", "doc_id % 9 <> 4 AS sky_visible", "CAST(n_chars % 131 - 10 AS INT) AS haze_severity",
           "CAST(n_chars % 47 AS DOUBLE) / 2 AS visibility_km_estimate", "CAST((n_chars % 13) AS DOUBLE) / 10 - 0.05E0 AS confidence",
-          "CAST(doc_id * 17 % 300 AS DOUBLE) AS pm25", "CAST(doc_id * 5 % 90 AS DOUBLE) AS uncertainty"]
+          "CAST(doc_id * 17 % 300 AS DOUBLE) AS pm25", "CAST(doc_id * 5 % 90 AS DOUBLE) + 0.37E0 AS uncertainty"]
 fragment("photos", f"SELECT {', '.join(_PHOTO)} FROM documents")
 _HAZE = "least(100, greatest(0, haze_severity))"
 _STEP = lambda *v: f"CASE WHEN {_HAZE} < 20 THEN {v[0]} WHEN {_HAZE} < 40 THEN {v[1]} WHEN {_HAZE} < 60 THEN {v[2]} WHEN {_HAZE} < 80 THEN {v[3]} ELSE {v[4]} END"
@@ -159,19 +160,13 @@ _SP = "greatest(uncertainty, 1.0)"
 _W = f"((1 / ({_SO} * {_SO})) / (1 / ({_SO} * {_SO}) + 1 / ({_SP} * {_SP})))"
 
 
-@register("fused_estimates", query(f"""SELECT id, status, CASE WHEN effective_confidence > 0 THEN CAST(floor(({_W} * (pm25_low + pm25_high) / 2 + (1 - {_W}) * pm25) * 1000 + 0.5) AS BIGINT)
- ELSE CAST(pm25 * 1000 AS BIGINT) END // 100 AS fused_tenths, effective_confidence > 0 AS used FROM observed""", "observed"))
+@register("fused_estimates", query(f"""SELECT id, status, CASE WHEN effective_confidence > 0 THEN round({_W} * (pm25_low + pm25_high) / 2.0
+ + (1 - {_W}) * pm25, 1) ELSE pm25 END AS fused_pm25, CASE WHEN effective_confidence > 0 THEN round(sqrt(1 / (1 / ({_SO} * {_SO}) + 1 / ({_SP} * {_SP}))), 1) END
+ AS fused_uncertainty, CASE WHEN effective_confidence > 0 THEN round({_W}, 3) ELSE 0.0::DOUBLE END AS photo_weight FROM observed""", "observed"))
 def fused_estimates(spark, sf):
     seen = observed(spark, sf).withColumn("cell", F.col("id"))
-    blend = photos.fused(seen.select("cell", "pm25", "uncertainty"), seen.drop("pm25", "uncertainty"))
-    exact = seen.select(F.col("id").alias("i"), "pm25_low", "pm25_high", "effective_confidence", "uncertainty", F.col("pm25").alias("p"))
-    both = blend.join(exact, F.col("id") == F.col("i"))
-    low, high, used = F.col("pm25_low"), F.col("pm25_high"), F.col("photo_weight") > 0
-    so = (high - low) / 2 / F.greatest("effective_confidence", F.lit(0.05))
-    sp = F.greatest("uncertainty", F.lit(1.0))
-    w = (1 / (so * so)) / (1 / (so * so) + 1 / (sp * sp))
-    value = F.when(used, F.floor((w * (low + high) / 2 + (1 - w) * F.col("p")) * 1000 + 0.5)).otherwise((F.col("p") * 1000).cast("bigint"))
-    return both.select("id", "status", F.floor(value / 100).alias("fused_tenths"), (F.col("effective_confidence") > 0).alias("used"))
+    return photos.fused(seen.select("cell", "pm25", "uncertainty"), seen.drop("pm25", "uncertainty")).select(
+        "id", "status", "fused_pm25", "fused_uncertainty", "photo_weight")
 
 
 # ---------------------------------------------------------------- replies
@@ -286,13 +281,13 @@ def chosen_cells(spark, sf):
     return packs.select_cells(rows, RES, CENTRES).select("date", "ord", "role", "cell")
 
 
-@register("signal_packs", query(f"""SELECT p.date, p.ord, p.role, p.cell, printf('%.1f', pm25) AS pm25, {sql_label('s.pm25')} AS category,
+@register("signal_packs", query(f"""SELECT p.date, p.ord, p.role, p.cell, printf('%.1f', round_even(pm25, 1)) AS pm25, {sql_label('s.pm25')} AS category,
  ['high', 'medium', 'low'][confidence + 1] AS confidence, n_reporting > 0 AS anchored,
  (SELECT string_agg(health || '=' || n, ',' ORDER BY health) FROM (SELECT health, count(*) AS n FROM sites t WHERE
  {fixed6(haversine('s.lat', 's.lon', 't.lat', 't.lon'))} <= 50 GROUP BY health) z) AS within_50km
  FROM (SELECT date, CAST(ord AS INTEGER) AS ord, role, cell FROM picks4) p JOIN predicted s USING (date, cell)""", "picks4", "predicted", "sites"))
 def signal_packs(spark, sf):
-    rows = cut_lineage(predicted_days(spark, sf), "predicted")
+    rows = cut_lineage(predicted_days(spark, sf, with_features=True), "predicted")
     chosen = cut_lineage(packs.select_cells(rows, RES, CENTRES), "picks")
     grid_about = rows.select("cell").distinct().withColumn("district", F.lit(None).cast("string")).withColumn("state", F.lit("any"))
     out = packs.signal_packs(rows, chosen, grid_about, sites(spark, sf), levels(spark, sf))
@@ -345,7 +340,8 @@ def replaced_partitions(spark, sf):
 
 
 @register("refiltered_table", query("""SELECT state, parameter, count(*) AS rows FROM (SELECT * REPLACE (value * 10 AS value) FROM readings_multi) r
- LEFT JOIN caps USING (parameter, unit) WHERE NOT (value > coalesce(ceiling, 1e300)) GROUP BY ALL""", "readings_multi", "caps"))
+ LEFT JOIN caps USING (parameter, unit) WHERE NOT (value > coalesce(ceiling, 1e300))
+ AND value NOT IN (999.0, 999.9, 999.99, 9999.0, 99999.0) GROUP BY ALL""", "readings_multi", "caps"))
 def refiltered_table(spark, sf):
     from skyhive.sinks.tables import refilter_history, replace_partitions
 

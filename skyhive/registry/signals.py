@@ -197,8 +197,8 @@ fragment("regional", """SELECT region_cell, date, CAST(sum(n) AS DOUBLE) AS fire
  (east * u10 + north * v10) / (greatest(dist, 1e-6) * greatest(speed, 1e-6))) END AS w FROM fire_pairs) z GROUP BY region_cell, date""", "fire_pairs")
 
 
-def regional(spark, sf):
-    cells = grid(spark, sf).select(F.col("cell").alias("region_cell"), "lat", "lon")
+def regional(spark, sf, cells=None):
+    cells = (grid(spark, sf) if cells is None else cells).select(F.col("cell").alias("region_cell"), "lat", "lon")
     px = cut_lineage(pixels(spark, sf).select("date", "row", "col", "u10", "v10"), "wind")
     wind = RA.sample(cells, px, RASTER, ["u10", "v10"])
     sources = cut_lineage(FI.fires_by_region(fires(spark, sf)), "fire-regions")
@@ -285,5 +285,14 @@ def full_days(spark, sf):
     sampled = RA.sample(cells.select("cell", "lat", "lon"), cut_lineage(pixels(spark, sf), "pixels"), RASTER, RA.BANDS)
     own = _coarse_daily(spark, sf).groupBy("cell", "date").agg(
         F.sum("fire_count").cast("int").alias("fire_count"), F.sum("frp_sum").alias("frp_sum"))
-    rows = FE.cell_day_features(sampled, own, regional(spark, sf), RES)
+    rows = FE.cell_day_features(sampled, own, regional(spark, sf, cells), RES)
     return {"grid": cells, "rows": rows}
+
+
+def bare_days(spark, sf):
+    """The grid with distances, and its cell-days without any feature."""
+    from skyhive.registry.space import full_grid
+
+    cells = full_grid(spark, sf)
+    dates = load(spark, sf, "scenes").agg(F.array_sort(F.collect_set("date")).alias("d")).scalar()
+    return {"grid": cells, "rows": cells.select("cell", "lat", "lon", F.explode(dates).alias("date"))}

@@ -14,7 +14,7 @@ from skyhive.operators import validate as V
 from skyhive.registry.adapters import RES, STATION_RES, load, sites
 from skyhive.registry.book import register
 from skyhive.registry.history import MIN_HOURS
-from skyhive.registry.signals import cell_days, full_days
+from skyhive.registry.signals import bare_days, cell_days, full_days
 from skyhive.registry.sqltext import band, cell_of, fixed6, fragment, haversine, lat_of, lon_of, pm25_class, query
 from skyhive.session import cut_lineage
 
@@ -225,14 +225,14 @@ _SERIES_MODELS = ["idw_k8", "nearest_station"]
 fragment("block_draws", " UNION ALL ".join(_block_sql("station_id, draw", "block_rows JOIN series USING (station_id, pos)", m) for m in _SERIES_MODELS), "block_rows", "series")
 
 
-@register("block_bootstrap", query("SELECT p.station_id, p.model, p.days, " + ", ".join(f"round({c}, 9) AS {c}" for c in BLOCK if c != "r")
+@register("block_bootstrap", query("SELECT p.station_id, p.model, p.days, " + ", ".join(f"round({c}, 11) AS {c}" for c in BLOCK if c != "r")
     + ", round(r, 4) AS r FROM (" + " UNION ALL ".join(_block_sql("station_id", "series", m) for m in _SERIES_MODELS)
     + ") p JOIN (SELECT station_id, model, " + ", ".join(f"quantile_cont({c}, {q}) AS {c}_{s}" for c in ("mae", "category", "vs_idw")
     for s, q in (("lo", 0.025), ("hi", 0.975))) + " FROM block_draws GROUP BY station_id, model) b USING (station_id, model)", "block_draws", "series"))
 def block_bootstrap(spark, sf):
     out = B.block_bootstrap(paired(spark, sf), _SERIES_MODELS, draws=BLOCK_DRAWS)
     steady = F.when(~F.isnan("r") & (F.col("days") > 1), F.round("r", 4))
-    return out.select("station_id", "model", "days", *[F.round(c, 9).alias(c) for c in BLOCK if c != "r"], steady.alias("r"))
+    return out.select("station_id", "model", "days", *[F.round(c, 11).alias(c) for c in BLOCK if c != "r"], steady.alias("r"))
 
 
 @register("nearest_remaining", query(f"""SELECT a.station_id AS target, row_number() OVER (PARTITION BY a.station_id ORDER BY km, b) AS rank, b AS station_id, km
@@ -314,9 +314,10 @@ def feature_importance(spark, sf):
     return L.importance(fitted, name, spark)
 
 
-def predicted_days(spark, sf):
+def predicted_days(spark, sf, with_features=False):
     """Routed estimates of every grid cell and day from the two baselines, with confidence and error."""
-    days, values = full_days(spark, sf), cut_lineage(observations(spark, sf), "observations")
+    days = (full_days if with_features else bare_days)(spark, sf)
+    values = cut_lineage(observations(spark, sf), "observations")
     rows = P.serving_rows(days["grid"], days["rows"], values, K)
     routed = P.route(rows, "neighbour_idw", "neighbour_nearest")
     return P.with_confidence(routed, levels(spark, sf)).withColumn("cell_r4", geo.parent("cell", 4, RES))
@@ -333,11 +334,11 @@ fragment("served", f"""SELECT g.cell, g.cell_r4, g.lat, g.lon, g.dist_working_km
 fragment("predicted", """SELECT s.*, pm25 * rel_error_pct / 100 AS uncertainty FROM served s LEFT JOIN levels l ON l.level = s.confidence""", "served", "levels")
 
 
-@register("daily_predictions", query("""SELECT date, cell_r4 AS cell, round(avg(pm25), 6) AS pm25, round(avg(uncertainty), 6) AS uncertainty,
+@register("daily_predictions", query("""SELECT date, cell_r4 AS cell, round(avg(pm25), 11) AS pm25, round(avg(uncertainty), 11) AS uncertainty,
  round(avg(dist_nearest_km), 10) AS dist_km, max(confidence) AS confidence FROM predicted GROUP BY date, cell_r4""", "predicted"))
 def daily_predictions(spark, sf):
     out = rollup.rollup_predictions(predicted_days(spark, sf), "cell_r4")
-    return out.select("date", "cell", F.round("pm25", 6).alias("pm25"), F.round("uncertainty", 6).alias("uncertainty"),
+    return out.select("date", "cell", F.round("pm25", 11).alias("pm25"), F.round("uncertainty", 11).alias("uncertainty"),
                       F.round("dist_km", 10).alias("dist_km"), "confidence")
 
 

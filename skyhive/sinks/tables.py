@@ -120,10 +120,10 @@ def bands_markdown(bands: DataFrame) -> DataFrame:
 def run_summary(counts: DataFrame, corpus: DataFrame, profile: DataFrame) -> DataFrame:
     """The run summary as one JSON document. Inputs are small aggregates: drop counts, corpus counts, profile."""
     by = lambda keys: counts.where("drop_reason <> 'kept'").groupBy(*keys).agg(F.sum("rows").alias("rows"))
-    table = lambda df, key, value: df.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col(key), F.col(value))))).alias("m")).scalar()
-    nested = lambda outer, inner: by([outer, inner]).groupBy(outer).agg(F.map_from_entries(F.array_sort(
-        F.collect_list(F.struct(inner, "rows")))).alias("rows"))
+    table = lambda df, key, value: df.agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col(key), F.col(value)))).alias("m")).scalar()
+    nested = lambda outer, inner: by([outer, inner]).groupBy(outer).agg(F.map_from_entries(
+        F.collect_list(F.struct(inner, "rows"))).alias("rows"))
     total = lambda test: F.sum(F.when(test, F.col("rows")).otherwise(0)).cast("bigint")
     kept = F.col("drop_reason") == "kept"
     item = lambda measure: corpus.where(F.col("measure") == measure)
