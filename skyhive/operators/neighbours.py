@@ -17,7 +17,7 @@ MIN_KM = 0.5
 
 # Square mesh levels: level n has 2**n columns around the globe, the finest about 2.4 km wide.
 LEVELS = range(2, 15)
-LIST_FACTOR = 4
+LIST_FACTOR = 3
 UNIT_STEPS = 3
 
 
