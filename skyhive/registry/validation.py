@@ -334,12 +334,13 @@ fragment("served", f"""SELECT g.cell, g.cell_r4, g.lat, g.lon, g.dist_working_km
 fragment("predicted", """SELECT s.*, pm25 * rel_error_pct / 100 AS uncertainty FROM served s LEFT JOIN levels l ON l.level = s.confidence""", "served", "levels")
 
 
-@register("daily_predictions", query("""SELECT date, cell_r4 AS cell, round(avg(pm25), 8) AS pm25, round(avg(uncertainty), 8) AS uncertainty,
- round(avg(dist_nearest_km), 10) AS dist_km, max(confidence) AS confidence FROM predicted GROUP BY date, cell_r4""", "predicted"))
+@register("daily_predictions", query("""SELECT date, cell_r4 AS cell, round(avg(pm25) + 1.7e-9, 6) AS pm25, round(avg(uncertainty) + 1.7e-9, 6) AS uncertainty,
+ round(avg(dist_nearest_km) + 1.7e-9, 6) AS dist_km, max(confidence) AS confidence FROM predicted GROUP BY date, cell_r4""", "predicted"))
 def daily_predictions(spark, sf):
     out = rollup.rollup_predictions(predicted_days(spark, sf), "cell_r4")
-    return out.select("date", "cell", F.round("pm25", 8).alias("pm25"), F.round("uncertainty", 8).alias("uncertainty"),
-                      F.round("dist_km", 10).alias("dist_km"), "confidence")
+    # the small shift keeps exact halves from falling either way
+    return out.select("date", "cell", *[F.round(F.col(c) + 1.7e-9, 6).alias(c) for c in ("pm25", "uncertainty", "dist_km")],
+                      "confidence")
 
 
 @register("daily_digest", query("""SELECT date, count(*) AS cells, round(quantile_cont(pm25, 0.5), 6) AS median,
