@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_private_root: list[str] = []  # only used where the cluster names no shared folder
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """All timestamps are UTC. Generated methods above 8,000 bytes are never compiled by the JVM and run
     an order of magnitude slower, so stages that large use the smaller per-operator methods instead.
@@ -23,9 +26,9 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if not _private_root:
+        _private_root.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _private_root[0]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
