@@ -78,3 +78,40 @@ def test_only_changed_partitions_are_rewritten(spark, tmp_path):
 def test_markdown(spark):
     df = spark.createDataFrame([("a", 1234.56, 7), ("b", None, 8)], "model string, mae double, n bigint")
     assert [r.line for r in tables.markdown_rows(df).collect()] == ["| a | 1,234.6 | 7 |", "| b |  | 8 |"]
+
+
+def test_monthly_features_documents_photos_and_station_sources(spark, tmp_path):
+    import datetime as dt
+
+    days = spark.createDataFrame([(1, dt.date(2024, 1, 31), 0.5), (1, dt.date(2024, 2, 1), 0.25)], "cell bigint, date date, aai double")
+    path = str(tmp_path / "days")
+    tables.write_cell_days(days, path)
+    assert dict(spark.read.parquet(path).dtypes)["aai"] == "float"
+    assert [r.aai for r in files.day_slice(spark, path, "2024-02-01", ["cell", "aai"]).collect()] == [0.25]
+
+    docs = days.select("date", F.struct("cell", F.lit(None).cast("string").alias("note")).alias("body"))
+    tables.write_documents(docs, str(tmp_path / "docs"))
+    assert spark.read.json(str(tmp_path / "docs")).where("body.cell = 1").count() == 2
+
+    (tmp_path / "p.json").write_text(json.dumps([{"id": "a", "lat": 1.0, "credit": {"author": "x"}, "sky_visible": True, "haze_severity": 45}]))
+    photo = files.read_photos(spark, str(tmp_path / "p.json")).first()
+    assert (photo.id, photo.credit.author, photo.haze_severity) == ("a", "x", 45)
+
+    index = spark.createDataFrame([(9, "N", 1.0, 2.0, "C", "S")], "location_id bigint, name string, lat double, lon double, city string, state string")
+    row = files.station_source(index).first()
+    assert (row.station_id, row.station_name, row.rows) == ("site-9", "N", None)
+    assert files.station_source(index.drop("city")).columns[:2] == ["station_id", "station_name"]
+
+
+def test_fitted_models_are_saved_and_restored(spark, tmp_path):
+    from skyhive.operators import learn
+    from skyhive.operators.features import FEATURES
+
+    rows = spark.range(400).select("id", *[((F.col("id") * (i + 3)) % 17).cast("double").alias(f) for i, f in enumerate(FEATURES)],
+                                   ((F.col("id") * 7) % 29).cast("double").alias("actual"), (F.col("id") % 2).cast("int").alias("fold"))
+    fitted = learn.fit_folds(rows, 2, "residual", "squared", ["lat", "lon"], rounds=2, depth=2)
+    assert "lat" not in fitted.features
+    learn.save(fitted, str(tmp_path / "m"))
+    back = learn.restore(str(tmp_path / "m"))
+    first = [r.p for r in learn.predict_mean(fitted, rows, "p").orderBy("id").collect()]
+    assert first == [r.p for r in learn.predict_mean(back, rows, "p").orderBy("id").collect()]
