@@ -6,6 +6,8 @@ import importlib
 
 #: Query name -> module that holds the function of that name.
 MODULES = {
+    "op5_warc": "warc",
+    "op6_packing": "packing",
     "op8_token_ids": "token_ids",
 }
 
