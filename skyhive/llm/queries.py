@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op5_warc": "warc",
     "op6_packing": "packing",
+    "op7_simhash": "simhash",
     "op8_token_ids": "token_ids",
 }
 
