@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds the function of that name.
 MODULES = {
+    "op2_substrings": "substrings",
     "op5_warc": "warc",
     "op6_packing": "packing",
     "op7_simhash": "simhash",
