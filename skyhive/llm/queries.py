@@ -11,6 +11,7 @@ MODULES = {
     "op6_packing": "packing",
     "op7_simhash": "simhash",
     "op8_token_ids": "token_ids",
+    "op10_max_score": "topk",
 }
 
 
@@ -19,4 +20,6 @@ def all_queries():
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    from skyhive.llm.topk import OP10_SQL
+
+    return {"op10_max_score": OP10_SQL}
