@@ -12,6 +12,7 @@ MODULES = {
     "op6_packing": "packing",
     "op7_simhash": "simhash",
     "op8_token_ids": "token_ids",
+    "op9_quality": "quality",
     "op10_max_score": "topk",
 }
 
