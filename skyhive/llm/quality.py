@@ -1,8 +1,9 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
 Documents give evidence: a logistic model over shares of characters and repeated words (low quality), and the
-weights of words that stand out in toxic documents (toxicity). Both are fitted on at most LABELLED labelled
-rows, those with the smallest hashes of doc_id; that bound is the only one. Evidence is a log likelihood ratio.
+weights of words and word beginnings that stand out in toxic documents (toxicity). Both are fitted on at most
+LABELLED labelled rows, those with the smallest hashes of doc_id; that bound is the only one. Words are chosen
+on two thirds of the sample and their weights calibrated on the rest. Evidence is a log likelihood ratio.
 
 Sites give priors: over all documents the expected number of bad ones is summed per path (source and language)
 and per host (source). A host's rate is shrunk to the global rate, a path's to its host's, with strengths
@@ -22,12 +23,14 @@ import string
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyhive.llm.common import discard, prepare, stored, table, words_of
 
 LABELLED, LEXICON = 20_000, 2_000
+BEGINNINGS = (4, 5, 6)  # characters
 LEAST_RATE = 1e-4
 _GROUPS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", string.digits, " ", "\n\r\t", ".,;:'\"()-", "!?", "#$%&*@^~+=", "|<>{}[]\\/_`"]
 _BYTES = np.zeros((256, len(_GROUPS) + 1))
@@ -87,23 +90,42 @@ def _logit(p):
     return np.log(p) - np.log1p(-p)
 
 
+def forms(names: pa.Array) -> list[pa.Array]:
+    """The words, and their beginnings marked by a caret."""
+    caret, nothing = (pa.scalar(x, pa.large_string()) for x in ("^", ""))
+    return [names, *(pc.binary_join_element_wise(caret, pc.utf8_slice_codeunits(names, 0, n), nothing) for n in BEGINNINGS)]
+
+
+def toxic_scores(text: np.ndarray, word: np.ndarray, names: pa.Array, lexicon: dict[str, float], n: int) -> np.ndarray:
+    """Per text: the sum of the weights of its listed words, whether it has any, and how many."""
+    if not lexicon or not len(names):
+        return np.zeros((n, 3))
+    listed, weights = pa.array(list(lexicon), pa.large_string()), np.fromiter(lexicon.values(), float)
+    weight = np.zeros(len(names))
+    for form in forms(names):
+        found = pc.index_in(form.cast(pa.large_string()), value_set=listed).fill_null(-1).to_numpy()
+        weight = np.maximum(weight, np.where(found >= 0, weights[found], 0.0))
+    hits = np.bincount(text, weights=weight[word] > 0, minlength=n)
+    return np.column_stack([np.minimum(np.bincount(text, weights=weight[word], minlength=n), 30), hits > 0, np.minimum(hits, 8)])
+
+
+def _linear(model, x: np.ndarray) -> np.ndarray:
+    centre, scale, w = model
+    return np.column_stack([(x - centre) / scale, np.ones(len(x))]) @ w
+
+
 class Evidence:
     """What a text says by itself: log likelihood ratios of low quality and of toxicity."""
 
-    def __init__(self, model, base: float, lexicon: dict[str, float]):
-        self.model, self.base, self.lexicon = model, base, lexicon
+    def __init__(self, low, low_rate: float, toxic, toxic_rate: float, lexicon: dict[str, float]):
+        self.low, self.low_rate, self.toxic, self.toxic_rate, self.lexicon = low, low_rate, toxic, toxic_rate, lexicon
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         x, text, word, names = features(texts)
-        low = np.zeros(len(texts))
-        if self.model is not None:
-            centre, scale, w = self.model
-            low = np.column_stack([(x - centre) / scale, np.ones(len(x))]) @ w - _logit(self.base)
+        low = np.zeros(len(texts)) if self.low is None else _linear(self.low, x) - _logit(self.low_rate)
         toxic = np.zeros(len(texts))
-        if self.lexicon:
-            found = pc.index_in(names, value_set=pa.array(list(self.lexicon), names.type)).fill_null(-1).to_numpy()
-            weight = np.where(found >= 0, np.fromiter(self.lexicon.values(), float)[found], 0.0)
-            toxic = np.bincount(text, weights=weight[word], minlength=len(texts))
+        if self.toxic is not None:
+            toxic = _linear(self.toxic, toxic_scores(text, word, names, self.lexicon, len(texts))) - _logit(self.toxic_rate)
         return np.clip(low, -12, 12), np.clip(toxic, -12, 12)
 
 
@@ -111,16 +133,30 @@ def _lexicon_counts(batches):
     for batch in batches:
         _, text, word, names = features(batch.column("text").fill_null(""))
         toxic = batch.column("toxic").to_numpy().astype(float)
-        n = np.bincount(word, minlength=len(names))
-        k = np.bincount(word, weights=toxic[text], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64))], names=["word", "n", "k"])
+        for form in forms(names):
+            coded = form.dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pair = np.unique(text * kinds + coded.indices.to_numpy().astype(np.int64)[word])
+            n, k = np.bincount(pair % kinds, minlength=kinds), np.bincount(pair % kinds, weights=toxic[pair // kinds], minlength=kinds)
+            if len(coded.dictionary):
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64))], names=["word", "n", "k"])
 
 
-def _feature_rows(batches):
-    for batch in batches:
-        x, *_ = features(batch.column("text").fill_null(""))
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("low"), rows], names=["low", "x"])
+def _feature_rows(lexicon: dict[str, float]):
+    def run(batches):
+        for batch in batches:
+            x, text, word, names = features(batch.column("text").fill_null(""))
+            x = np.column_stack([x, toxic_scores(text, word, names, lexicon, len(x))])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("toxic"), batch.column("fold"), rows], names=["low", "toxic", "fold", "x"])
+
+    return run
+
+
+def least_shingle(texts: pa.Array) -> pa.Array:
+    """The smallest hash of three-word shingles: most near copies share it, so each group teaches once."""
+    return pa.array([min((xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
+                     for w in (t.split() for t in texts.cast(pa.large_binary()).to_pylist())], pa.int64())
 
 
 def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Evidence, float, float]:
@@ -128,23 +164,32 @@ def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tup
     known = (labels.where("doc_id is not null and quality is not null and toxic is not null")
              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))  # bounded, so its ids may be sent to all tasks
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-                    .select("text", (F.col("quality") < 1).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
+        F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") < 1).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+        .withColumn("group", F.arrow_udf(least_shingle, "long")("text")).dropDuplicates(["group"]).withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(3)).cast("int")), "labelled")
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("low"), F.lit(0)).alias("low"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, low, toxic = size["n"], size["low"], size["toxic"]
     rate = lambda k: (k + 1) / (n + 10)
-    model, lexicon = None, {}
-    if 0 < low < n:
-        rows = sample.select("text", "low").mapInArrow(_feature_rows, "low int, x array<double>").toPandas()
-        model = fitted(np.stack(rows["x"].to_numpy()), rows["low"].to_numpy().astype(float))
+    low_model, toxic_model, lexicon = None, None, {}
     if 0 < toxic < n:
-        counts = sample.mapInArrow(_lexicon_counts, "word string, n long, k long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        expected = F.col("n") * F.lit(toxic / n)
-        excess = (F.col("k") - expected) / F.sqrt(expected * (1 - toxic / n) + 1)
-        chosen = counts.where("k >= 3 and length(word) > 1").withColumn("z", excess).where("z > 5").orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-        lexicon = {r["word"]: float(np.log((r["k"] + 0.5) / (toxic + 1)) - np.log((r["n"] - r["k"] + 0.5) / (n - toxic + 1))) for r in chosen}
+        share = sample.where("fold > 0").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+        counts = sample.where("fold > 0").select("text", "toxic").mapInArrow(_lexicon_counts, "word string, n long, k long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        ratio = F.log((F.col("k") + 0.5) / (share[1] + 1)) - F.log((F.col("n") - F.col("k") + 0.5) / (share[0] - share[1] + 1))
+        least = ratio - 2 * F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("n") - F.col("k") + 0.5))  # two standard errors below
+        chosen = counts.where("k >= 3 and length(word) > 1").withColumn("weight", least).where("weight >= 1").orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
+        lexicon = {r["word"]: float(r["weight"]) for r in chosen}
+    if 0 < low < n or lexicon:
+        rows = sample.select("text", "low", "toxic", "fold").mapInArrow(_feature_rows(lexicon), "low int, toxic int, fold int, x array<double>").toPandas()  # LABELLED rows at most
+        x = np.stack(rows["x"].to_numpy())
+        if 0 < low < n:
+            low_model = fitted(x[:, :N_FEATURES], rows["low"].to_numpy().astype(float))
+        if lexicon:
+            y, rest = rows["toxic"].to_numpy().astype(float), rows["fold"].to_numpy() == 0
+            if not 0 < y[rest].sum() < rest.sum():  # too few to keep apart
+                rest = np.ones(len(y), bool)
+            toxic_model = fitted(x[rest, N_FEATURES:], y[rest])
     discard(sample)
-    return Evidence(model, low / n if n else 0.5, lexicon), rate(low), rate(toxic)
+    return Evidence(low_model, low / n if n else 0.5, toxic_model, toxic / n if n else 0.5, lexicon), rate(low), rate(toxic)
 
 
 def _strength(n: str, rate: str, parent: Column) -> Column:
