@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module that holds the function of that name.
 MODULES = {
     "op2_substrings": "substrings",
+    "op3_fingerprints": "fingerprint",
     "op4_hmm": "hmm",
     "op5_warc": "warc",
     "op6_packing": "packing",
