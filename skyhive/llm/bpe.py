@@ -40,28 +40,31 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return starts
 
 
-class Encoder:
+class PieceEncoder:
     """encode(texts) gives the number of ids of each text and all ids in a row.
 
-    At most `limit` distinct pieces are kept between calls; beyond that the pool starts anew, so memory
-    does not grow with the corpus. Special tokens' strings in a text are ordinary text.
+    A text falls into pieces whose ids depend on nothing else: `starts` marks them, `ids_of` encodes them. At
+    most `limit` distinct pieces are kept between calls; beyond that the pool starts anew, so memory does not
+    grow with the corpus.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self._clear()
 
+    def starts(self, data: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _add(self, pieces: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        encoded = self.ids_of(pieces)
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         total, first = int(lengths.sum()), len(self.slot)
         while self.used + total > len(self.pool):
@@ -81,7 +84,7 @@ class Encoder:
             return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
         bounds = bounds - bounds[0]
-        starts = cuts(data)
+        starts = self.starts(data)
         starts[bounds[:-1][np.diff(bounds) > 0]] = True
         starts = np.flatnonzero(starts)
         edges = np.append(starts, len(data))
@@ -100,6 +103,23 @@ class Encoder:
         return np.diff(ends), ids
 
 
+class Encoder(PieceEncoder):
+    """Byte-level BPE of a tokenizers file. Special tokens' strings in a text are ordinary text."""
+
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        super().__init__(limit)
+
+    def starts(self, data: np.ndarray) -> np.ndarray:
+        return cuts(data)
+
+    def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+
 _encoders: dict[str, Encoder] = {}
 
 

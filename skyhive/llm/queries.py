@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds the function of that name.
 MODULES = {
+    "op1_sentencepiece": "sentencepiece",
     "op2_substrings": "substrings",
     "op3_fingerprints": "fingerprint",
     "op4_hmm": "hmm",
