@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhive.llm.common import id_and_text, prepare, spans, spread, stored, table
+from skyhive.llm.common import discard, id_and_text, prepare, spans, stored, table, words_of
 from skyhive.llm.components import components
 
 CROWD = 2048
@@ -103,30 +104,41 @@ def _dealt(nodes: DataFrame, n_blocks: int, carried: list[str]) -> DataFrame:
     return nodes.mapInArrow(run, "key long, home boolean, node long" + (f", {kinds}" if kinds else ""))
 
 
-class Forest:
-    """Links that join parts not yet joined, within one anchor."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, i: int, others: np.ndarray) -> np.ndarray:
-        """The first of `others` in each part that i is not yet joined to."""
-        labels, first = np.unique(self.label[others], return_index=True)
-        fresh = labels != self.label[i]
-        if fresh.any():
-            self.label[np.isin(self.label, labels[fresh])] = self.label[i]
-        return others[first[fresh]]
-
-
 def compared(node: np.ndarray, carried: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Spanning links between rows `left` and rows `right` of one anchor that differ in few enough bits."""
-    forest, found = Forest(len(node)), []
+    """Spanning links between rows `left` and rows `right` of one anchor that differ in few enough bits.
+
+    Parts join their nearest neighbour first (Boruvka), so links are as close as can be.
+    """
+    n = len(node)
+    apart = np.full((n, n), 255, np.uint8)
     for i in left.tolist():
-        apart = np.bitwise_count(carried[right] ^ carried[i]).sum(1, dtype=np.int64)
-        near = right[(apart <= threshold) & (right != i)]
-        if len(near):
-            found += [(node[i], node[j]) for j in forest.join(i, near).tolist()]
-    return found
+        apart[i, right] = np.minimum(np.bitwise_count(carried[right] ^ carried[i]).sum(1, dtype=np.int64), 255)
+    apart = np.minimum(apart, apart.T)
+    np.fill_diagonal(apart, 255)
+    apart[apart > threshold] = 255
+    label, found = np.arange(n), []
+    while True:
+        other = apart.argmin(1)
+        least = apart[np.arange(n), other].astype(np.int64)
+        order = np.lexsort((np.arange(n), least, label))  # the nearest link out of each part
+        first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+        first = first[least[first] < 255]
+        if not len(first):
+            return found
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i in first.tolist():
+            a, b = root(int(label[i])), root(int(label[other[i]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                found.append((node[i], node[other[i]]))
+        label = np.array([root(int(x)) for x in label])
+        apart[label[:, None] == label[None, :]] = 255
 
 
 def _small(key: np.ndarray, home: np.ndarray, node: np.ndarray, carried: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -137,10 +149,10 @@ def _small(key: np.ndarray, home: np.ndarray, node: np.ndarray, carried: np.ndar
     at = np.flatnonzero(home & (sizes[group] > 1))
     left = np.repeat(at, sizes[group[at]])
     right = spans(starts[group[at]], sizes[group[at]])
-    near = np.zeros(len(left), bool)
-    for i in range(0, len(left), 1 << 20):
-        near[i:i + (1 << 20)] = np.bitwise_count(carried[left[i:i + (1 << 20)]] ^ carried[right[i:i + (1 << 20)]]).sum(1, dtype=np.int64) <= threshold
-    near &= left != right
+    apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(carried[left[i:i + (1 << 20)]] ^ carried[right[i:i + (1 << 20)]]).sum(1, dtype=np.int64)
+                                                     for i in range(0, len(left), 1 << 20))])
+    near = np.flatnonzero((apart <= threshold) & (left != right))
+    near = near[np.argsort(apart[near], kind="stable")]  # nearest first
     left, right = left[near], right[near]
     found, parent = [], {}
 
@@ -224,10 +236,52 @@ def _compare(carried: list[str], threshold: int, crowd: int):
     return run, f"a long, b long, key long, home boolean, part int{kinds}"
 
 
+def _shared(batches):
+    """Sorted rows of whole anchors, without anchors that hold one node or no home."""
+    held: pa.Table | None = None
+
+    def some(rows: pa.Table):
+        key = rows.column("key").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        homes = np.add.reduceat(rows.column("home").to_numpy(zero_copy_only=False).astype(np.int64), starts)
+        return rows.filter(pa.array(np.repeat((sizes > 1) & (homes > 0), sizes)))
+
+    crowded = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        key = rows.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if crowded is not None and key[0] == crowded:  # the rest of an anchor whose first rows were passed on
+            mine = int(np.searchsorted(key, crowded, side="right"))
+            yield from rows.slice(0, mine).to_batches()
+            rows, cut = rows.slice(mine), max(0, cut - mine)
+        if cut:
+            yield from some(rows.slice(0, cut)).to_batches()
+            rows = rows.slice(cut)
+        if rows.num_rows > 1 << 16:
+            crowded = key[-1]
+            yield from rows.to_batches()
+            rows = rows.slice(0, 0)
+        held = rows if rows.num_rows else None
+    if held is not None:
+        yield from (held if crowded is not None and held.column("key")[0].as_py() == crowded else some(held)).to_batches()
+
+
 def links(nodes: DataFrame, n_blocks: int, carried: list[str], threshold: int, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that join all nodes whose `carried` bits differ in at most `threshold`, among those with a
-    block in common up to one bit. nodes: node long, blocks binary (n_blocks of 32 bits), carried longs."""
-    dealt = _dealt(nodes, n_blocks, carried)
+    block in common up to one bit. nodes: node long, blocks binary (n_blocks of 32 bits), carried longs.
+
+    What is carried weighs on every row; beyond one long it meets the rows after lone ones are gone."""
+    if len(carried) == 1:
+        dealt = _dealt(nodes, n_blocks, carried)
+    else:
+        few = _dealt(nodes, n_blocks, []).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, home boolean, node long")
+        dealt = stored(few, "shared-anchors").join(nodes.select("node", *carried), "node").select("key", "home", "node", *carried)
     run, schema = _compare(carried, threshold, crowd)
     ordered = dealt.repartition("key").sortWithinPartitions("key")
     met = stored(ordered.mapInArrow(run, schema), "anchor-links")
@@ -289,6 +343,119 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, seed: i
         prints.where("doc_id is null").select("doc_id", "print", F.lit(None).cast("long").alias("component_id")))
 
 
+def bits_of_words(words: pa.Array, bounds: np.ndarray, longs: int) -> np.ndarray:
+    """SimHash of 64 * longs bits of single words, repeats included, for each text; big-endian bytes."""
+    coded = words.dictionary_encode()
+    which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for w in names for s in range(-(-longs // 2))), np.uint8)
+    bits = np.unpackbits(hashes.reshape(len(names), -1)[:, :8 * longs], axis=1) if len(names) else np.zeros((0, 64 * longs), np.uint8)
+    out = np.zeros((len(bounds) - 1, 8 * longs), np.uint8)
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if b > a:
+            distinct, times = np.unique(which[a:b], return_counts=True)
+            out[i] = np.packbits(2.0 * (times.astype(np.float32) @ bits[distinct].astype(np.float32)) > b - a)
+    return out
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8"))
+
+
+WORD_LONGS, SHINGLE_LONGS, CANDIDATE_BITS = 4, 4, 56
+
+
+def _prints_of_copies(words: int):
+    names = ["row_a", "row_b", "doc_id", "same_a", "same_b", "blocks", *(f"p{i}" for i in range(SHINGLE_LONGS))]
+
+    def run(batches):
+        for batch in batches:
+            texts = pc.ascii_lower(batch.column("text").cast(pa.large_string()))
+            bounds, found = words_of(texts)
+            blocks = bits_of_words(found, bounds, WORD_LONGS)
+            shingles, same = [], []
+            for t in texts.cast(pa.large_binary()).to_pylist():
+                parts = t.split()
+                line = b" ".join(parts)
+                same.append(xxhash.xxh3_128_digest(line))
+                ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+                starts = np.concatenate([[0], ends[:-1] + 1]) if parts else ends
+                n = max(1, len(parts) - words + 1) if parts else 0
+                last = ends[min(words, len(parts)) - 1:][:n] if parts else ends
+                digest = xxhash.xxh3_128_digest
+                distinct = {digest(line[a:b]) for a, b in zip(starts[:n].tolist(), last.tolist())}
+                wide = b"".join(d + digest(d) for d in distinct)
+                shingles.append(fingerprint(wide, 8 * SHINGLE_LONGS).tobytes())
+            longs = np.frombuffer(b"".join(shingles), ">i8").astype(np.int64).reshape(-1, SHINGLE_LONGS)
+            twin = np.frombuffer(b"".join(same), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id"), pa.array(twin[:, 0].copy()), pa.array(twin[:, 1].copy()),
+                 pa.array([b.tobytes() for b in blocks], pa.binary()), *(pa.array(longs[:, i].copy()) for i in range(SHINGLE_LONGS))], names=names)
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.encode().lower(), words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist()):
+                a, b = np.frombuffer(a, ">u8"), np.frombuffer(b, ">u8")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def without_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies (Jaccard of word shingles), that with the smallest doc_id.
+
+    Anchors are those of a 256-bit SimHash of single words, which near copies share almost whole: eight blocks
+    find any two that differ in up to 15 bits, and most beyond. Members of an anchor are compared by a 256-bit
+    SimHash of their shingles, nearest first; the links found are checked on the shingles themselves.
+    Rows without doc_id go before those with one. All columns pass through.
+    """
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key_a, key_b = F.xxhash64("doc_id", text), F.xxhash64(text, F.lit(7), "doc_id")
+    rows = docs.select(key_a.alias("row_a"), key_b.alias("row_b"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    longs = [f"p{i}" for i in range(SHINGLE_LONGS)]
+    prints = stored(rows.mapInArrow(_prints_of_copies(words), "row_a long, row_b long, doc_id long, same_a long, same_b long, blocks binary, " + ", ".join(f"{p} long" for p in longs)), "prints")
+    # one node for each text; its number is that of its first row
+    first = F.min_by(F.struct("row_a", "row_b", "doc_id"), F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)), "row_a"))
+    nodes = stored(prints.groupBy("same_a", "same_b", "blocks", *longs).agg(first.alias("r")).select("same_a", "same_b", "blocks", *longs, "r.*")
+                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    near = stored(links(nodes.select("node", "blocks", *longs), 2 * WORD_LONGS, longs, CANDIDATE_BITS).distinct(), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_a", "row_b"), "node")
+    sets = stored(rows.select("row_a", "row_b", "text").join(ends, ["row_a", "row_b"]).select("node", "text").mapInArrow(_shingle_sets(words), "node long, shingles binary")
+                  .groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    sided = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    true = stored(sided.select("a", "b", "of_a", "of_b").mapInArrow(_alike(similarity), "a long, b long"), "verified")
+    discard(sets)
+    roots = components(true)
+    grouped = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    best = grouped.groupBy("group").agg(F.min_by("node", F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)), "row_a")).alias("stays"))
+    keepers = stored(grouped.join(best, "group").where(F.col("node") == F.col("stays")).select("row_a", "row_b"), "keepers")
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), key_a.alias("row_a"), key_b.alias("row_b"))
+    again = prints.groupBy("row_a", "row_b").agg(F.count("*").alias("n")).where("n > 1").select("row_a", "row_b")
+    kept = named.join(keepers, ["row_a", "row_b"], "left_semi")
+    if again.isEmpty():
+        return kept.select("doc.*")
+    again = stored(again, "repeated-rows")  # rows alike in doc_id and text: one of them stays
+    once = kept.join(again, ["row_a", "row_b"], "left_semi").groupBy("row_a", "row_b").agg(F.first("doc").alias("doc"))
+    return kept.join(again, ["row_a", "row_b"], "left_anti").select("doc.*").unionByName(once.select("doc.*"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
