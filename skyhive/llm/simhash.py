@@ -109,7 +109,7 @@ def compared(node: np.ndarray, carried: np.ndarray, left: np.ndarray, right: np.
 
     Parts join their nearest neighbour first (Boruvka), so links are as close as can be.
     """
-    n = len(node)
+    n, carried = len(node), carried.astype(np.uint64)  # bitwise_count takes the size of signed numbers
     apart = np.full((n, n), 255, np.uint8)
     for i in left.tolist():
         apart[i, right] = np.minimum(np.bitwise_count(carried[right] ^ carried[i]).sum(1, dtype=np.int64), 255)
@@ -143,6 +143,7 @@ def compared(node: np.ndarray, carried: np.ndarray, left: np.ndarray, right: np.
 
 def _small(key: np.ndarray, home: np.ndarray, node: np.ndarray, carried: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """The same for many small anchors at once; rows are sorted by key."""
+    carried = carried.astype(np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     group = np.repeat(np.arange(len(starts)), sizes)
