@@ -195,7 +195,7 @@ def _encode_blocks(freq: np.ndarray, width: type):
                         ("states", pa.binary()), ("offsets", pa.binary()), ("crc", pa.int64())])
 
     def run(batches):
-        coder, rows, held = Coder(freq), [], 0
+        coder, rows, held = Coder(freq) if freq.sum() else None, [], 0
 
         def flush():
             blocks = [np.frombuffer(r["ids"], width).astype(np.int32) for r in rows]
@@ -261,7 +261,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        coder, rows, held = Coder(freq), [], 0
+        coder, rows, held = Coder(freq) if freq.sum() else None, [], 0  # no frequencies: no blocks
 
         def flush():
             decoded = coder.decode([(r["payload"], r["states"], r["offsets"], r["n_ids"]) for r in rows])
@@ -284,7 +284,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 if held >= 1 << 20:
                     yield from flush()
                     rows, held = [], 0
-        yield from flush()
+        if rows:
+            yield from flush()
 
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
