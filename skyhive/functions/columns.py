@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -38,9 +39,13 @@ def parameter_name(parameter) -> Column:
 
 
 def number(text) -> Column:
-    """Text to double; anything that is not a finite number becomes NULL."""
-    value = F.trim(_col(text)).try_cast("double")
-    return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), None).otherwise(value)
+    """Text to double; anything that is not a finite decimal number becomes NULL.
+
+    The cast alone would also take type letters and hexadecimal digits ('5D', '12.5f', '0x1p3').
+    """
+    plain = F.trim(_col(text).cast("string"))
+    value = F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def iso_utc(text) -> Column:
@@ -69,21 +74,31 @@ def first_known(*columns) -> Column:
     return F.coalesce(*[_col(c) for c in columns])
 
 
-def _fold_table() -> tuple[str, str]:
-    """Letters whose compatibility decomposition starts with one ASCII letter or digit, and that letter."""
-    pairs = []
-    for code in [*range(0x00A0, 0x0250), *range(0x1E00, 0x1F00)]:
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """All code points whose compatibility decomposition leaves ASCII: those that leave one character, that
+    character, and those that leave several (ligatures, fractions, unit signs) with what they leave.
+    """
+    single, several = [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
         if len(plain) == 1:
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            single.append((chr(code), plain))
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _fold_tables()
 
 
 def fold_ascii(text) -> Column:
-    return F.trim(F.regexp_replace(F.translate(_col(text), _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", ""))
+    """Plain ASCII of a name: letters without marks, ligatures and full-width forms spelt out, the rest gone."""
+    folded = F.translate(_col(text), _FOLD_FROM, _FOLD_TO)
+    spelt = F.array_join(F.transform(F.split(folded, ""), lambda c: F.when(c <= "\x7f", c).otherwise(
+        F.coalesce(_lookup(_FOLD_SEVERAL, c), F.lit("")))), "")
+    return F.trim(F.when(folded.rlike(r"[^\x00-\x7F]"), spelt).otherwise(folded))
 
 
 def match_key(text) -> Column:

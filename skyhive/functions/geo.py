@@ -53,7 +53,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     north = F.sin(F.radians(lat2 - lat1) / 2)
     east = F.sin(F.radians(lon2 - lon1) / 2)
     chord = north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), chord))))
+    bounded = F.when(chord.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), chord)))  # both skip NULL
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(bounded))
 
 
 def unit_xyz(lat, lon) -> tuple[Column, Column, Column]:
@@ -70,7 +71,7 @@ def chord2(ax, ay, az, bx, by, bz) -> Column:
 
 def chord_km(squared: Column) -> Column:
     """Great-circle kilometres of a squared chord; the same distance as haversine_km."""
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(squared) / 2))
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.when(squared.isNotNull(), F.least(F.lit(1.0), F.sqrt(squared) / 2)))
 
 
 def planar_offset_km(lat, lon, from_lat, from_lon) -> tuple[Column, Column]:

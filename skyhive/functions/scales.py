@@ -76,9 +76,14 @@ def confidence_name(level) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in CONFIDENCE_NAMES]), _col(level).cast("int") + 1)
 
 
+def _clamped(value, low, high) -> Column:
+    """Within the limits; unknown stays unknown (least and greatest alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
+
+
 def haze_range(score) -> Column:
-    """struct(low, high, label) of PM2.5 for a haze score clamped to 0..100."""
-    score = F.least(F.lit(100), F.greatest(F.lit(0), _col(score).cast("int")))
+    """struct(low, high, label) of PM2.5 for a haze score clamped to 0..100; NULL for an unknown score."""
+    score = _clamped(_col(score).cast("int"), 0, 100)
     *bounded, last = HAZE_SCALE
     as_struct = lambda row: F.struct(F.lit(row[1]).alias("low"), F.lit(row[2]).alias("high"),
                                      F.lit(row[3]).alias("label"))
@@ -90,22 +95,24 @@ def haze_range(score) -> Column:
 
 def haze_conflict(visibility_km, score) -> Column:
     """Near-zero visibility together with a low haze score: the reading contradicts itself."""
-    score = F.least(F.lit(100), F.greatest(F.lit(0), _col(score).cast("int")))
+    score = _clamped(_col(score).cast("int"), 0, 100)
     return (F.round(_col(visibility_km), 1) <= 2) & (score < 50)
 
 
 def photo_weight(sky_visible, confidence, visibility_km, score) -> Column:
     """Effective confidence of one photo reading."""
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), _col(confidence).cast("double")))
-    damped = clamped * F.when(haze_conflict(visibility_km, score), HAZE_CONFLICT_WEIGHT).otherwise(1.0)
+    damped = _clamped(_col(confidence).cast("double"), 0.0, 1.0) * F.when(haze_conflict(visibility_km, score), HAZE_CONFLICT_WEIGHT).otherwise(1.0)
     return F.when(_col(sky_visible), F.bround(damped, 2)).otherwise(F.lit(0.0))
 
 
 def fuse(prediction, uncertainty, low, high, weight) -> Column:
-    """Inverse-variance blend of a prediction and one photo range: struct(fused, uncertainty, weight)."""
+    """Inverse-variance blend of a prediction and one photo range: struct(fused, uncertainty, weight).
+
+    A usable photo with an unknown prediction or uncertainty gives unknown values, not certain ones.
+    """
     prediction, low, high = (_col(c).cast("double") for c in (prediction, low, high))
     weight = _col(weight).cast("double")
-    sigma_model = F.greatest(_col(uncertainty).cast("double"), F.lit(1.0))
+    sigma_model = F.when(_col(uncertainty).isNotNull(), F.greatest(_col(uncertainty).cast("double"), F.lit(1.0)))
     sigma_photo = (high - low) / 2 / F.greatest(weight, F.lit(0.05))
     precision_photo, precision_model = 1 / (sigma_photo * sigma_photo), 1 / (sigma_model * sigma_model)
     share = precision_photo / (precision_photo + precision_model)

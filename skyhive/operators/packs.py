@@ -39,7 +39,7 @@ def select_cells(predicted: DataFrame, res: int, centres: dict[str, tuple[float,
     dark = (F.col("dist_working_km") > DARK_KM) & (F.col("dist_nearest_km") > DARK_KM)
     rounds = [("dark_zone", dark), ("dark_zone", dark), ("low_confidence", F.col("confidence") == 2)]
     for number, (role, test) in enumerate(rounds, start=len(centres)):
-        able = rows.where(test)
+        able = rows.where(test & F.col("pm25").isNotNull())  # NULL would sort before the highest value
         if picks is not None:
             taken = picks.groupBy("date").agg(F.collect_list(F.struct("lat", "lon")).alias("taken"))
             able = able.join(taken, "date", "left").where(F.forall(

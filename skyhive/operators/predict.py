@@ -30,11 +30,12 @@ def route(rows: DataFrame, near: str, far: str, threshold_km: float = 100.0, nam
 
 
 def with_confidence(rows: DataFrame, levels: DataFrame, estimate: str = "estimate") -> DataFrame:
-    """pm25 clipped at zero, confidence level by distance, and the typical error in the same unit.
+    """pm25 clipped at zero (unknown where there is no estimate), confidence level by distance, and the typical
+    error in the same unit.
 
     levels has one row per confidence level, three in all.
     """
-    scored = (rows.withColumn("pm25", F.greatest(F.col(estimate), F.lit(0.0)))
+    scored = (rows.withColumn("pm25", F.when(F.col(estimate).isNotNull(), F.greatest(F.col(estimate), F.lit(0.0))))
               .withColumn("confidence", confidence_level("dist_nearest_km"))
               .withColumn("band", distance_band("dist_nearest_km")))
     table = levels.select(F.col("level").alias("confidence"), "rel_error_pct")

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def request_key(model, prompt_version, endpoint, *body) -> Column:
-    """Digest of everything that decides a reply. Binary parts are passed as digests, not as content."""
+    """Digest of everything that decides a reply. Binary parts are passed as digests, not as content.
+
+    The parts go into a JSON object, unknown ones as null, so no two requests read alike.
+    """
     parts = [F.col(c) if isinstance(c, str) else c for c in (model, prompt_version, endpoint, *body)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    named = F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))
+    return F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256)
 
 
 def binary_digest(content) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyhive.operators.scale import latest
+
 # Fixed values
 LANGUAGES = ["en", "ta", "hi"]
 AUDIENCES = ["authority", "citizen"]
@@ -35,21 +37,21 @@ def parsed(df: DataFrame, text: str, schema: str, required: list[str], column: s
 
 
 def match_batch(asked: DataFrame, results: DataFrame, batch: str, item: str, required: list[str]) -> DataFrame:
-    """Every asked item with its result: ok, or missing_from_batch if it is absent or lacks a required field.
+    """Every asked item with its result: ok; missing_from_batch if it is absent or lacks a required key; or the
+    batch's own status if the batch failed as a whole.
 
-    results: batch, item and a struct `result`, the last one per item. `unknown_ids` names items nobody
-    asked for in that batch.
+    asked: batch, item and `batch_status`. results: batch, item, `position` in the reply, a struct `result` and
+    `keys`, the names present in it (a key with null is present). Of several results for one item the last
+    counts. `unknown_ids` names items nobody asked for in that batch.
     """
-    complete = None
-    for name in required:
-        known = F.col(f"result.{name}").isNotNull()
-        complete = known if complete is None else complete & known
+    results = latest(results, [batch, item], ["position"])
+    complete = F.forall(F.array(*map(F.lit, required)), lambda k: F.array_contains("keys", k))
     strays = (results.join(asked.select(batch, item), [batch, item], "left_anti")
               .groupBy(batch).agg(F.array_sort(F.collect_set(item)).alias("unknown_ids")))
-    joined = asked.join(results.select(batch, item, "result"), [batch, item], "left").join(strays, batch, "left")
-    ok = F.coalesce(complete, F.lit(False))
-    return (joined.withColumn("status", F.when(ok, "ok").otherwise("missing_from_batch"))
-            .withColumn("result", F.when(ok, F.col("result"))))
+    joined = asked.join(results.select(batch, item, "result", "keys"), [batch, item], "left").join(strays, batch, "left")
+    ok = F.coalesce(complete, F.lit(False)) & (F.col("batch_status") == "ok")
+    status = F.when(ok, "ok").when(F.col("batch_status") == "ok", "missing_from_batch").otherwise(F.col("batch_status"))
+    return joined.withColumn("status", status).withColumn("result", F.when(ok, F.col("result"))).drop("keys", "batch_status")
 
 
 def grounding_warnings(evidence, allowed: list[str], unknown_ids=None) -> Column:
@@ -94,7 +96,10 @@ def number_check(value: Column, draft: str = "draft") -> Column:
 
 
 def dispatch(drafts: DataFrame) -> DataFrame:
-    """drafts: date, cell, status, facts -> whether each would be sent, and to whom."""
+    """drafts: date, cell, status, facts -> whether each would be sent, and to whom.
+
+    Drafts come from items with an attribution only; an item without one has no alert to send.
+    """
     send = (F.col("status") == "ok") & F.col("facts.urgency").isin(URGENT_LEVELS)
     to = F.array(F.concat(F.lit("District Collector, "), F.col("facts.district")),
                  F.concat(F.col("facts.state"), F.lit(" Pollution Control Board")))

@@ -74,7 +74,7 @@ def value_scales(spark, sf):
 
 # ---------------------------------------------------------------- stored replies
 
-fragment("keyed", """SELECT *, sha256(concat_ws('|', model, prompt_version, endpoint, lang, text)) AS key FROM requests""", "requests")
+fragment("keyed", """SELECT *, sha256(to_json({'p0': model, 'p1': prompt_version, 'p2': endpoint, 'p3': lang, 'p4': text})::VARCHAR) AS key FROM requests""", "requests")
 fragment("store", """SELECT key, min(model) AS model, min(prompt_version) AS prompt_version, min(doc_id) AS first_doc, CASE min(doc_id) % 4 WHEN 0
  THEN '{"error": {"code": 429}}' WHEN 1 THEN '{"candidates": []}' ELSE '{"candidates": [{"content": {"parts": [{"text": "' || min(doc_id) || '"}]}}]}' END AS response
  FROM keyed WHERE doc_id % 3 = 0 OR lang = 'en' GROUP BY key""", "keyed")
@@ -133,15 +133,15 @@ def content_matches(spark, sf):
 
 # ---------------------------------------------------------------- photo readings
 
-_PHOTO = ["doc_id AS id", "doc_id % 9 <> 4 AS sky_visible", "CAST(n_chars % 131 - 10 AS INT) AS haze_severity",
-          "CAST(n_chars % 47 AS DOUBLE) / 2 AS visibility_km_estimate", "CAST((n_chars % 13) AS DOUBLE) / 10 - 0.05E0 AS confidence",
-          "CAST(doc_id * 17 % 300 AS DOUBLE) AS pm25", "CAST(doc_id * 5 % 90 AS DOUBLE) + 0.37E0 AS uncertainty"]
+_PHOTO = ["doc_id AS id", "doc_id % 9 <> 4 AS sky_visible", "CASE WHEN doc_id % 23 <> 3 THEN CAST(n_chars % 131 - 10 AS INT) END AS haze_severity",
+          "CAST(n_chars % 47 AS DOUBLE) / 2 AS visibility_km_estimate", "CASE WHEN doc_id % 31 <> 5 THEN CAST((n_chars % 13) AS DOUBLE) / 10 - 0.05E0 END AS confidence",
+          "CAST(doc_id * 17 % 300 AS DOUBLE) AS pm25", "CASE WHEN doc_id % 29 <> 4 THEN CAST(doc_id * 5 % 90 AS DOUBLE) + 0.37E0 END AS uncertainty"]
 fragment("photos", f"SELECT {', '.join(_PHOTO)} FROM documents")
-_HAZE = "least(100, greatest(0, haze_severity))"
-_STEP = lambda *v: f"CASE WHEN {_HAZE} < 20 THEN {v[0]} WHEN {_HAZE} < 40 THEN {v[1]} WHEN {_HAZE} < 60 THEN {v[2]} WHEN {_HAZE} < 80 THEN {v[3]} ELSE {v[4]} END"
+_HAZE = "(CASE WHEN haze_severity IS NOT NULL THEN least(100, greatest(0, haze_severity)) END)"
+_STEP = lambda *v: f"CASE WHEN haze_severity IS NULL THEN NULL WHEN {_HAZE} < 20 THEN {v[0]} WHEN {_HAZE} < 40 THEN {v[1]} WHEN {_HAZE} < 60 THEN {v[2]} WHEN {_HAZE} < 80 THEN {v[3]} ELSE {v[4]} END"
 fragment("observed", f"""SELECT *, CASE WHEN sky_visible THEN 'ok' ELSE 'no_sky' END AS status, CASE WHEN sky_visible THEN {_STEP(0, 31, 61, 121, 251)} END AS pm25_low,
  CASE WHEN sky_visible THEN {_STEP(30, 60, 120, 250, 400)} END AS pm25_high, CASE WHEN sky_visible THEN visibility_km_estimate <= 2 AND {_HAZE} < 50 END AS consistency_warning,
- CASE WHEN sky_visible THEN round_even(least(1.0, greatest(0.0, confidence)) * CASE WHEN visibility_km_estimate <= 2 AND {_HAZE} < 50 THEN 0.2 ELSE 1.0 END, 2)
+ CASE WHEN sky_visible THEN round_even(CASE WHEN confidence IS NOT NULL THEN least(1.0, greatest(0.0, confidence)) END * CASE WHEN visibility_km_estimate <= 2 AND {_HAZE} < 50 THEN 0.2 ELSE 1.0 END, 2)
  ELSE 0.0 END AS effective_confidence FROM photos""", "photos")
 
 
@@ -156,13 +156,13 @@ def photo_observations(spark, sf):
 
 
 _SO = "((pm25_high - pm25_low) / 2.0 / greatest(effective_confidence, 0.05))"
-_SP = "greatest(uncertainty, 1.0)"
+_SP = "(CASE WHEN uncertainty IS NOT NULL THEN greatest(uncertainty, 1.0) END)"
 _W = f"((1 / ({_SO} * {_SO})) / (1 / ({_SO} * {_SO}) + 1 / ({_SP} * {_SP})))"
 
 
-@register("fused_estimates", query(f"""SELECT id, status, CASE WHEN effective_confidence > 0 THEN round({_W} * (pm25_low + pm25_high) / 2.0
- + (1 - {_W}) * pm25, 1) ELSE pm25 END AS fused_pm25, CASE WHEN effective_confidence > 0 THEN round(sqrt(1 / (1 / ({_SO} * {_SO}) + 1 / ({_SP} * {_SP}))), 1) END
- AS fused_uncertainty, CASE WHEN effective_confidence > 0 THEN round({_W}, 3) ELSE 0.0::DOUBLE END AS photo_weight FROM observed""", "observed"))
+@register("fused_estimates", query(f"""SELECT id, status, CASE WHEN effective_confidence > 0 AND pm25_low IS NOT NULL THEN round({_W} * (pm25_low + pm25_high) / 2.0
+ + (1 - {_W}) * pm25, 1) ELSE pm25 END AS fused_pm25, CASE WHEN effective_confidence > 0 AND pm25_low IS NOT NULL THEN round(sqrt(1 / (1 / ({_SO} * {_SO}) + 1 / ({_SP} * {_SP}))), 1) END
+ AS fused_uncertainty, CASE WHEN effective_confidence > 0 AND pm25_low IS NOT NULL THEN round({_W}, 3) ELSE 0.0::DOUBLE END AS photo_weight FROM observed""", "observed"))
 def fused_estimates(spark, sf):
     seen = observed(spark, sf).withColumn("cell", F.col("id"))
     return photos.fused(seen.select("cell", "pm25", "uncertainty"), seen.drop("pm25", "uncertainty")).select(
@@ -171,15 +171,18 @@ def fused_estimates(spark, sf):
 
 # ---------------------------------------------------------------- replies
 
-# One reply text per document: fenced or not, sometimes cut short, without a field, or for an item nobody asked about.
+# One reply text per document: fenced or not, sometimes cut short, without a field or with null in it, with an earlier
+# result for the same item, or for an item nobody asked about.
 _EVIDENCE = "'[{\"signal\": \"' || CASE WHEN doc_id % 4 = 0 THEN 'rumour' ELSE 'aerosol_index' END || '\"}, {\"signal\": \"location.state\"}]'"
-_BODY = ("'{\"results\": [{\"hex_id\": \"h' || CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id + 1000000 ELSE doc_id END AS STRING) || '\", \"dominant_source\": \"'"
-         " || CASE WHEN doc_id % 3 = 0 THEN 'dust' ELSE 'vehicular' END || '\", ' || CASE WHEN doc_id % 11 = 5 THEN '' ELSE '\"urgency\": \"'"
+_ID = "CAST(CASE WHEN doc_id % 10 = 9 THEN doc_id + 1000000 ELSE doc_id END AS STRING)"
+_EARLIER = f"CASE WHEN doc_id % 13 = 6 THEN '{{\"hex_id\": \"h' || {_ID} || '\", \"dominant_source\": \"old\", \"urgency\": \"routine\", \"evidence\": []}}, ' ELSE '' END"
+_BODY = ("'{\"results\": [' || " + _EARLIER + " || '{\"hex_id\": \"h' || " + _ID + " || '\", \"dominant_source\": \"'"
+         " || CASE WHEN doc_id % 3 = 0 THEN 'dust' ELSE 'vehicular' END || '\", ' || CASE WHEN doc_id % 11 = 5 THEN '' WHEN doc_id % 17 = 8 THEN '\"urgency\": null, ' ELSE '\"urgency\": \"'"
          " || CASE doc_id % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'elevated' ELSE 'routine' END || '\", ' END || '\"evidence\": ' || " + _EVIDENCE + " || '}]}'")
 _REPLY = ["doc_id", "'h' || CAST(doc_id AS STRING) AS item", "lang AS batch_lang",
           f"CASE doc_id % 7 WHEN 0 THEN '```json' || chr(10) || {_BODY} || chr(10) || '```' WHEN 1 THEN 'sorry: ' || {_BODY} WHEN 2 THEN '{{\"other\": 1}}' ELSE {_BODY} END AS reply"]
 fragment("reply_facts", """SELECT doc_id, 'h' || doc_id AS item, doc_id % 7 NOT IN (1, 2) AS parses, doc_id % 10 = 9 AS stray, doc_id % 11 = 5 AS no_urgency,
- CASE WHEN doc_id % 3 = 0 THEN 'dust' ELSE 'vehicular' END AS source, CASE doc_id % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'elevated' ELSE 'routine' END AS urgency FROM documents""")
+ CASE WHEN doc_id % 3 = 0 THEN 'dust' ELSE 'vehicular' END AS source, CASE WHEN doc_id % 17 <> 8 THEN CASE doc_id % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'elevated' ELSE 'routine' END END AS urgency FROM documents""")
 SHAPE = "results array<struct<hex_id:string,dominant_source:string,urgency:string,evidence:array<struct<signal:string>>>>"
 ALLOWED = ["aerosol_index", "location", "location.state"]
 
@@ -189,18 +192,20 @@ def reply_rows(spark, sf):
     return replies.parsed(rows, "reply", SHAPE, ["results"])
 
 
-@register("parsed_replies", query("""SELECT doc_id, CASE WHEN parses THEN 'ok' ELSE 'unparseable' END AS status, CASE WHEN parses THEN source END AS dominant_source FROM reply_facts""", "reply_facts"))
+@register("parsed_replies", query("""SELECT doc_id, CASE WHEN parses THEN 'ok' ELSE 'unparseable' END AS status, CASE WHEN parses THEN CASE WHEN doc_id % 13 = 6 THEN 'old' ELSE source END END AS dominant_source FROM reply_facts""", "reply_facts"))
 def parsed_replies(spark, sf):
     return reply_rows(spark, sf).select("doc_id", "status", F.col("data.results")[0]["dominant_source"].alias("dominant_source"))
 
 
 def matched(spark, sf):
     rows = reply_rows(spark, sf)
-    results = rows.where("status = 'ok'").select("doc_id", F.explode("data.results").alias("result")).withColumn("item", F.col("result.hex_id"))
-    return replies.match_batch(rows.select("doc_id", "item"), results, "doc_id", "item", ["dominant_source", "urgency", "evidence"])
+    names = F.from_json(replies.unfenced("reply"), "results array<string>")["results"]
+    results = rows.where("status = 'ok'").select("doc_id", F.posexplode(F.arrays_zip(F.col("data.results").alias("typed"), names.alias("raw"))).alias("position", "r"))
+    results = results.select("doc_id", "position", F.col("r.typed").alias("result"), F.col("r.typed.hex_id").alias("item"), F.json_object_keys("r.raw").alias("keys"))
+    return replies.match_batch(rows.select("doc_id", "item", F.col("status").alias("batch_status")), results, "doc_id", "item", ["dominant_source", "urgency", "evidence"])
 
 
-@register("matched_replies", query("""SELECT doc_id, item, CASE WHEN parses AND NOT stray AND NOT no_urgency THEN 'ok' ELSE 'missing_from_batch' END AS status,
+@register("matched_replies", query("""SELECT doc_id, item, CASE WHEN NOT parses THEN 'unparseable' WHEN stray OR no_urgency THEN 'missing_from_batch' ELSE 'ok' END AS status,
  CASE WHEN parses AND stray THEN 'h' || (doc_id + 1000000) END AS unknown_ids, CASE WHEN parses AND NOT stray AND NOT no_urgency THEN urgency END AS urgency FROM reply_facts""", "reply_facts"))
 def matched_replies(spark, sf):
     return matched(spark, sf).select("doc_id", "item", "status", F.array_join("unknown_ids", ",").alias("unknown_ids"), "result.urgency")
@@ -227,12 +232,11 @@ def number_checks(spark, sf):
     return rows.withColumn("draft", draft).select("doc_id", F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit(";"))), "").alias("checks"))
 
 
-@register("alert_dispatch", query("""SELECT doc_id, CASE WHEN parses AND NOT stray AND NOT no_urgency THEN urgency ELSE 'routine' END AS urgency,
- CASE WHEN parses AND NOT stray AND NOT no_urgency THEN source ELSE 'insufficient_signal' END AS likely_source,
- parses AND NOT stray AND NOT no_urgency AND urgency <> 'routine' AS would_send, 'District Collector, District ' || doc_id % 50 || ';State ' || doc_id % 5
- || ' Pollution Control Board' AS recipients, CAST(round_even((doc_id % 997) / 4.0, 0) AS INTEGER) AS predicted FROM reply_facts""", "reply_facts"))
+@register("alert_dispatch", query("""SELECT doc_id, coalesce(urgency, 'routine') AS urgency, source AS likely_source, coalesce(urgency, 'routine') <> 'routine' AS would_send, 'District Collector, District ' || doc_id % 50 || ';State ' || doc_id % 5
+ || ' Pollution Control Board' AS recipients, CAST(round_even((doc_id % 997) / 4.0, 0) AS INTEGER) AS predicted FROM reply_facts
+ WHERE parses AND NOT stray AND NOT no_urgency""", "reply_facts"))
 def alert_dispatch(spark, sf):
-    rows = matched(spark, sf)
+    rows = matched(spark, sf).where("status = 'ok'")  # items without an attribution have no alert
     signals = F.struct(F.lit("2024-01-05").alias("date"), F.struct(
         F.concat(F.lit("District "), (F.col("doc_id") % 50).cast("string")).alias("district"),
         F.concat(F.lit("State "), (F.col("doc_id") % 5).cast("string")).alias("state")).alias("location"),

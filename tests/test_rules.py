@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyhive.functions import columns as C
 from skyhive.functions import geo, scales
-from skyhive.operators import bootstrap, clean, fires, live, photos, raster, regions, replies, rollup, runs, stations, validate
+from skyhive.operators import bootstrap, clean, fires, live, packs, photos, predict, raster, regions, replay, replies, rollup, runs, stations, validate
 from skyhive.operators.neighbours import nearest_sites, neighbour_features
 from skyhive.operators.scale import exact_quantiles, latest, salted_join
 
@@ -334,3 +334,51 @@ def test_missing_days(spark):
     seen = spark.createDataFrame([(dt.date(2024, 1, 2),)], "date date")
     got = sorted(r.date.day for r in validate.missing_days(seen, dt.date(2024, 1, 1), dt.date(2024, 1, 3)).collect())
     assert got == [1, 3]
+
+
+def test_unknown_stays_unknown(spark):
+    none = F.lit(None).cast("double")
+    assert one(spark, geo.haversine_km(none, F.lit(77.0), F.lit(20.0), F.lit(77.0))) is None
+    assert one(spark, geo.chord_km(none)) is None
+    assert one(spark, scales.distance_band(geo.chord_km(none))) == "no remaining data"
+    assert one(spark, scales.haze_range(F.lit(None).cast("int"))) is None
+    assert one(spark, scales.photo_weight(F.lit(True), none, F.lit(5.0), F.lit(80))) is None
+    assert one(spark, scales.fuse(F.lit(100.0), none, F.lit(61), F.lit(120), F.lit(0.8))) == (None, None, None)
+    assert one(spark, scales.fuse(F.lit(100.0), F.lit(9.0), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0.8))) == (100.0, None, 0.0)
+    levels = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 30.0)], "level int, rel_error_pct double")
+    rows = spark.createDataFrame([(None, 5.0), (-3.0, 5.0)], "estimate double, dist_nearest_km double")
+    got = {(r.estimate, r.pm25, r.uncertainty) for r in predict.with_confidence(rows, levels).collect()}
+    assert got == {(None, None, None), (-3.0, 0.0, 0.0)}
+
+
+def test_cells_without_estimate_are_not_the_worst(spark):
+    rows = spark.createDataFrame([("2024-01-01", 1, 20.0, 77.0, None, 2, 80.0, 80.0), ("2024-01-01", 2, 25.0, 80.0, 50.0, 2, 80.0, 80.0)],
+                                 "date string, cell long, lat double, lon double, pm25 double, confidence int, dist_working_km double, dist_nearest_km double")
+    assert [r.cell for r in packs.select_cells(rows, 5, centres={}).collect()] == [2]
+
+
+def test_request_keys_do_not_collide(spark):
+    rows = spark.createDataFrame([("a|b", "c", "x"), ("a", "b|c", "x"), (None, "a|b|c", "x"), ("a", "b", "c|x")], "m string, p string, e string")
+    assert rows.select(replay.request_key("m", "p", "e").alias("k")).distinct().count() == 4
+
+
+def test_only_plain_numbers_count(spark):
+    texts = ["5D", "12.5f", "0x1p3", "NaN", "Infinity", "1e400", "", None, " -12.50 ", ".5", "7.", "+3e2"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.number("t").alias("v")).collect()
+    assert [r.v for r in rows] == [None] * 8 + [-12.5, 0.5, 7.0, 300.0]
+
+
+def test_names_fold_as_compatibility_decomposition(spark):
+    import unicodedata
+
+    texts = ["ﬁrozabad ĳ Ａgra", "½ ㎏ №5 Ⅷ", "Thēni ⓐ", "दिल्ली Delhi", "ß straße", "𝒳𝟙"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.fold_ascii("t").alias("v")).collect()
+    assert [r.v for r in rows] == [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().strip() for t in texts]
+
+
+def test_batch_results_take_the_last_and_keep_the_batch_status(spark):
+    asked = spark.createDataFrame([("b", "h1", "ok"), ("b", "h2", "ok"), ("b", "h3", "ok"), ("c", "h1", "unparseable")], "batch string, item string, batch_status string")
+    results = spark.createDataFrame([("b", "h1", 0, ("old",), ["source"]), ("b", "h1", 1, ("new",), ["source"]), ("b", "h2", 2, (None,), ["source"]),
+                                     ("b", "h3", 3, ("x",), ["other"])], "batch string, item string, position int, result struct<source:string>, keys array<string>")
+    got = {(r.batch, r.item): (r.status, r.result and r.result.source) for r in replies.match_batch(asked, results, "batch", "item", ["source"]).collect()}
+    assert got == {("b", "h1"): ("ok", "new"), ("b", "h2"): ("ok", None), ("b", "h3"): ("missing_from_batch", None), ("c", "h1"): ("unparseable", None)}
