@@ -53,30 +53,28 @@ def station_sums(wide: DataFrame, models: list[str]) -> DataFrame:
         *[F.sum(F.abs(F.col(m) - F.col("actual"))).alias(m) for m in models])
 
 
-def station_draws(stations: DataFrame, draws: int, seed: int) -> DataFrame:
-    """How often each draw picked each station: as many picks per draw as there are stations."""
+def station_draws(stations: DataFrame, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Picks (draw, pos) with repeats, as many per draw as there are stations, and the station at each pos."""
     total = stations.agg(F.count(F.lit(1)).alias("n")).scalar()
     indexed = digest_rank(stations.select("station_id"), "station_id")
     # one row per slot, spread over the cluster, then one per slot and draw
     slots = indexed.select(F.col("pos").alias("slot")).repartition("slot").withColumn("n", total)
     picks = (slots.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-             .select("draw", pick(seed, F.col("draw"), F.col("slot"), F.col("n")).alias("pos"))
-             .groupBy("draw", "pos").agg(F.count(F.lit(1)).alias("times")))
-    return picks.join(indexed, "pos").select("draw", "station_id", "times")
+             .select("draw", pick(seed, F.col("draw"), F.col("slot"), F.col("n")).alias("pos")))
+    return picks, indexed
 
 
 def station_bootstrap(wide: DataFrame, models: list[str], draws: int = DRAWS, seed: int = 0,
                       ci: float = 95.0) -> DataFrame:
     """Pooled error per model and band with an interval from redrawing whole stations.
 
-    All models and bands share the draws, so comparisons are paired. Readings are summed per station first;
-    each draw then only weights those sums.
+    All models and bands share the draws, so comparisons are paired. Readings are summed per station first; each
+    pick then meets those sums once and is added up before any shuffle, so only totals per draw and band travel.
     """
     sums = station_sums(wide, models)
-    chosen = station_draws(wide.select("station_id").distinct(), draws, seed)
-    weighted = (chosen.join(sums, "station_id").groupBy("draw", "band").agg(
-        F.sum(F.col("times") * F.col("n")).alias("n"),
-        *[F.sum(F.col("times") * F.col(m)).alias(m) for m in models]))
+    picks, indexed = station_draws(wide.select("station_id").distinct(), draws, seed)
+    weighted = (picks.join(sums.join(indexed, "station_id"), "pos").groupBy("draw", "band").agg(
+        F.sum("n").alias("n"), *[F.sum(m).alias(m) for m in models]))
     low, high = (100 - ci) / 200, 1 - (100 - ci) / 200
 
     def entry(m: str) -> Column:
@@ -132,6 +130,42 @@ def _scores(models: list[str], group: list[str], rows: DataFrame) -> DataFrame:
     return (rows.groupBy(*group) if group else rows.groupBy()).agg(F.count(F.lit(1)).alias("days"), *parts)
 
 
+def _sum_names(models: list[str]) -> list[str]:
+    return ["days", "y", "yy", *[f"{s}_{m}" for m in models for s in ("abs", "err", "x", "xx", "xy", "same")]]
+
+
+def _block_sums(models: list[str], by: str, rows: DataFrame, block_days: int, short: Column) -> DataFrame:
+    """For each first day: sums over the whole block from there, and over a block of the series' short length.
+
+    Products are of deviations from the series' own means, so correlations do not lose digits.
+    """
+    whole = Window.partitionBy(by)
+    centred = rows.withColumns({f"c_{c}": F.col(c) - F.avg(c).over(whole) for c in ["actual", *models]})
+    parts = {"days": F.lit(1.0), "y": F.col("c_actual"), "yy": F.col("c_actual") * F.col("c_actual")}
+    for m in models:
+        parts |= {f"abs_{m}": F.abs(F.col(m) - F.col("actual")), f"err_{m}": F.col(m) - F.col("actual"), f"x_{m}": F.col(f"c_{m}"),
+                  f"xx_{m}": F.col(f"c_{m}") * F.col(f"c_{m}"), f"xy_{m}": F.col(f"c_{m}") * F.col("c_actual"),
+                  f"same_{m}": (pm25_class("actual") == pm25_class(m)).cast("double")}
+    ahead = Window.partitionBy(by).orderBy("pos").rowsBetween(0, block_days - 1)
+    day = centred.select(by, "pos", short.alias("short"), F.struct(*[v.alias(k) for k, v in parts.items()]).alias("d"))
+    block = day.withColumn("b", F.collect_list("d").over(ahead))  # block_days entries at most
+    add = lambda entries, name: F.aggregate(entries, F.lit(0.0), lambda s, d: s + F.coalesce(d[name].cast("double"), F.lit(0.0)))
+    cut = F.slice("b", F.lit(1), F.col("short").cast("int"))
+    return block.select(by, "pos", *[add(F.col("b"), n).alias(f"full_{n}") for n in parts], *[add(cut, n).alias(f"short_{n}") for n in parts])
+
+
+def _scores_of_sums(models: list[str], sums: DataFrame, group: list[str]) -> DataFrame:
+    n = F.col("days")
+    parts = []
+    for m in models:
+        across = F.col(f"xy_{m}") - F.col(f"x_{m}") * F.col("y") / n
+        spread = (F.col(f"xx_{m}") - F.col(f"x_{m}") * F.col(f"x_{m}") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
+        parts += [(F.col(f"abs_{m}") / n).alias(f"mae_{m}"), (F.col(f"err_{m}") / n).alias(f"bias_{m}"),
+                  F.when(spread > 1e-12, across / F.sqrt(spread)).otherwise(F.lit(float("nan"))).alias(f"r_{m}"),
+                  (F.col(f"same_{m}") / n).alias(f"category_{m}")]
+    return sums.select(*group, "days", *parts)
+
+
 def block_bootstrap(series: DataFrame, models: list[str], baseline: str = "idw_k8", draws: int = DRAWS,
                     block_days: int = BLOCK_DAYS, seed: int = 0, ci: float = 95.0, by: str = "station_id") -> DataFrame:
     """Intervals for each station's own series from redrawing blocks of consecutive days.
@@ -148,10 +182,13 @@ def block_bootstrap(series: DataFrame, models: list[str], baseline: str = "idw_k
               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
               .withColumn("start", pick(seed, F.col("draw"), F.col("block"),
                                         F.greatest(F.col("n") - block_days, F.lit(0)) + 1)))
-    picks = (starts.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(block_days - 1))))
-             .where(F.col("block") * block_days + F.col("step") < F.col("n"))
-             .select(by, "draw", (F.col("start") + F.col("step")).alias("pos")))
-    drawn = _scores(models, [by, "draw"], picks.join(rows.drop("n"), [by, "pos"]))
+    # The days of a block are added up once for each first day; a draw then adds blocks. The last block of a
+    # draw may be shorter, by the same number of days in every draw of the series.
+    short = F.col("n") - (blocks - 1) * block_days
+    sums = _block_sums(models, by, rows, block_days, short)
+    taken = starts.select(by, "draw", F.col("start").alias("pos"), (F.col("block") == blocks - 1).alias("last")).join(sums, [by, "pos"])
+    add = lambda name: F.sum(F.when(F.col("last"), F.col(f"short_{name}")).otherwise(F.col(f"full_{name}"))).alias(name)
+    drawn = _scores_of_sums(models, taken.groupBy(by, "draw").agg(*[add(c) for c in _sum_names(models)]), [by, "draw"])
     low, high = (100 - ci) / 200, 1 - (100 - ci) / 200
 
     def entry(m: str) -> Column:

@@ -207,10 +207,10 @@ def confidence_levels(spark, sf):
 
 
 BLOCK = ["mae", "bias", "r", "category", "vs_idw", "mae_lo", "mae_hi", "category_lo", "category_hi", "vs_idw_lo", "vs_idw_hi"]
-BLOCK_DRAWS = 200
+BLOCK_DRAWS = 2000
 fragment("series", """SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY period) - 1 AS pos, count(*) OVER (PARTITION BY station_id) AS n FROM paired""", "paired")
 fragment("block_rows", f"""SELECT station_id, draw, CAST('0x' || substr(md5('0|' || draw || '|' || block), 1, 7) AS BIGINT) % (greatest(n - 7, 0) + 1) + step AS pos
- FROM (SELECT DISTINCT station_id, n FROM series) s, range({BLOCK_DRAWS}) a(draw), range(7) b(step), range(60) c(block) WHERE block < ceil(n / 7.0) AND block * 7 + step < n""", "series")
+ FROM (SELECT DISTINCT station_id, n FROM series) s, range({BLOCK_DRAWS}) a(draw), range(7) b(step), range((SELECT CAST(ceil(max(n) / 7.0) AS BIGINT) FROM series)) c(block) WHERE block < ceil(n / 7.0) AND block * 7 + step < n""", "series")
 
 
 def _block_sql(group: str, source: str, m: str) -> str:
