@@ -45,7 +45,7 @@ class Fitted:
     models: dict[int, GBTRegressionModel]
     features: list[str]
     target: str
-    fills: dict[str, float] = field(default_factory=dict)
+    fills: dict[int, dict[str, float]] = field(default_factory=dict)  # by fold, from the rows its model saw
 
     @property
     def inputs(self) -> list[str]:
@@ -79,12 +79,14 @@ def fit_folds(rows: DataFrame, folds: int, target: str = "level", loss: str = "s
     features = feature_list(drop)
     label = F.col("actual") - F.col("neighbour_idw") if target == "residual" else F.col("actual")
     known = rows.withColumn("label", label).where("label IS NOT NULL")
-    fills = _medians(known, features)
-    ready = _assembled(known, features, fills).select("vector", "label", "fold")
     booster = GBTRegressor(featuresCol="vector", labelCol="label", lossType=loss, maxIter=rounds, maxDepth=depth,
                            stepSize=STEP, minInstancesPerNode=MIN_LEAF_ROWS, subsamplingRate=ROW_SHARE,
                            featureSubsetStrategy=COLUMN_SHARE, seed=seed, maxMemoryInMB=512)
-    models = {fold: booster.fit(ready.where(F.col("fold") != fold)) for fold in range(folds)}
+    models, fills = {}, {}
+    for fold in range(folds):
+        seen = known.where(F.col("fold") != fold)
+        fills[fold] = _medians(seen, features)
+        models[fold] = booster.fit(_assembled(seen, features, fills[fold]).select("vector", "label"))
     return Fitted(models, features, target, fills)
 
 
@@ -94,10 +96,11 @@ def _anchor(value, target: str):
 
 def predict_hidden(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """Each row scored by the model that never trained on its cell; cells without a fold use fold 0."""
-    ready = _assembled(rows.withColumn("fold", F.coalesce("fold", F.lit(0))), fitted.features, fitted.fills)
+    placed = rows.withColumn("fold", F.coalesce("fold", F.lit(0)))
     parts = []
     for fold, model in fitted.models.items():
-        scored = model.copy().setPredictionCol("_raw").transform(ready.where(F.col("fold") == fold))
+        ready = _assembled(placed.where(F.col("fold") == fold), fitted.features, fitted.fills[fold])
+        scored = model.copy().setPredictionCol("_raw").transform(ready)
         parts.append(scored.withColumn(name, _anchor(F.col("_raw"), fitted.target)).drop("_raw", "vector"))
     out = parts[0]
     for part in parts[1:]:
@@ -107,13 +110,12 @@ def predict_hidden(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
 
 def predict_mean(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """Mean of all fold models, scored in one pass over the rows."""
-    out = _assembled(rows, fitted.features, fitted.fills)
-    columns = []
+    out, columns = rows, []
     for fold, model in fitted.models.items():
         columns.append(f"_fold{fold}")
-        out = model.copy().setPredictionCol(columns[-1]).transform(out)
+        out = model.copy().setPredictionCol(columns[-1]).transform(_assembled(out, fitted.features, fitted.fills[fold])).drop("vector")
     mean = sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
-    return out.withColumn(name, _anchor(mean, fitted.target)).drop("vector", *columns)
+    return out.withColumn(name, _anchor(mean, fitted.target)).drop(*columns)
 
 
 def importance(fitted: Fitted, variant: str, spark: SparkSession) -> DataFrame:
@@ -168,4 +170,4 @@ def restore(path: str) -> Fitted:
     spark = SparkSession.getActiveSession()
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     models = {fold: GBTRegressionModel.load(f"{path}/fold={fold}") for fold in about["folds"]}
-    return Fitted(models, about["features"], about["target"], about["fills"])
+    return Fitted(models, about["features"], about["target"], {int(fold): f for fold, f in about["fills"].items()})

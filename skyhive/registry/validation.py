@@ -11,6 +11,7 @@ from skyhive.operators import predict as P
 from skyhive.operators import rollup
 from skyhive.operators import stations as ST
 from skyhive.operators import validate as V
+from skyhive.operators.features import FEATURE_GROUPS, FEATURES
 from skyhive.registry.adapters import RES, STATION_RES, load, sites
 from skyhive.registry.book import register
 from skyhive.registry.history import MIN_HOURS
@@ -304,6 +305,40 @@ def boosted_band_errors(spark, sf):
     return V.band_table(V.per_period(cut_lineage(rows, "variants"), models))
 
 
+_NAMES = ", ".join(f"'{f}'" for f in FEATURES)
+_GROUP = "CASE " + " ".join(f"WHEN feature IN ({', '.join(repr(f) for f in members)}) THEN '{name}'" for name, members in FEATURE_GROUPS.items()) + " END"
+fragment("gains", f"""SELECT 'v' || l_linenumber % 3 AS variant, l_suppkey % 5 AS fold, [{_NAMES}][l_orderkey % {len(FEATURES)} + 1] AS feature, CAST(l_quantity AS DOUBLE) AS gain FROM lineitem""")
+fragment("gain_shares", f"""SELECT variant, feature, {_GROUP} AS feature_group, 100 * gain / sum(gain) OVER (PARTITION BY variant) AS gain_pct FROM (SELECT variant, feature, avg(gain) AS gain
+ FROM (SELECT variant, fold, feature, sum(gain) AS gain FROM gains GROUP BY ALL) a GROUP BY ALL) b""", "gains")
+
+
+def gain_shares(spark, sf):
+    """Gains of three variants and five folds from a given table, so that the summary follows the data."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    names = F.array(*map(F.lit, FEATURES))
+    return L.summarise_importance(rows.select(
+        F.concat(F.lit("v"), (F.col("l_linenumber") % 3).cast("string")).alias("variant"), (F.col("l_suppkey") % 5).alias("fold"),
+        F.element_at(names, (F.col("l_orderkey") % len(FEATURES) + 1).cast("int")).alias("feature"), F.col("l_quantity").cast("double").alias("gain")))
+
+
+@register("importance_groups", query("SELECT variant, feature_group, round(sum(gain_pct), 6) AS gain_pct FROM gain_shares GROUP BY ALL", "gain_shares"))
+def importance_groups(spark, sf):
+    return L.importance_by_group(gain_shares(spark, sf)).withColumn("gain_pct", F.round("gain_pct", 6))
+
+
+@register("importance_pivot", query("SELECT feature, feature_group, " + ", ".join(f"round(max(gain_pct) FILTER (variant = '{v}'), 6) AS {v}" for v in ("v0", "v1", "v2"))
+    + " FROM gain_shares GROUP BY ALL", "gain_shares"))
+def importance_pivot(spark, sf):
+    out = L.importance_pivot(gain_shares(spark, sf), ["v0", "v1", "v2"])
+    return out.select("feature", "feature_group", *[F.round(v, 6).alias(v) for v in ("v0", "v1", "v2")])
+
+
+@register("importance_top", query("""SELECT variant, feature, CAST(row_number() OVER (PARTITION BY variant ORDER BY gain_pct DESC, feature) AS INTEGER) AS rank, round(gain_pct, 6) AS gain_pct
+ FROM gain_shares QUALIFY rank <= 3""", "gain_shares"))
+def importance_top(spark, sf):
+    return L.top_features(gain_shares(spark, sf)).select("variant", "feature", "rank", F.round("gain_pct", 6).alias("gain_pct"))
+
+
 @register("feature_importance")
 def feature_importance(spark, sf):
     """Gain by feature and group for the model without latitude and longitude."""
