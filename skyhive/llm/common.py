@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Environment of Python workers.
+WORKERS = {"PYTHONPATH": REPOSITORY, "TOKENIZERS_PARALLELISM": "false", "ARROW_DEFAULT_MEMORY_POOL": "system",
+           "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 _own_folder: list[str] = []  # only where the session names no shared folder, as in tests
 
 
@@ -20,14 +23,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings all operators rely on; safe to call again.
 
     Shuffle files of a finished write are not needed again, since each step is read back from its table.
-    Arrow batches are bounded in rows and bytes, so a batch of long texts fits a Python worker.
+    Arrow batches are bounded in rows and bytes, so a batch of long texts fits a Python worker; workers give
+    freed arrays back to the system, since several of them share an executor's memory with its JVM.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", REPOSITORY)
-    spark.sparkContext.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return spark
 
 
@@ -76,6 +80,20 @@ def spread(df: DataFrame) -> int:
     return max(df.rdd.getNumPartitions(), 3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def flushes(batches, limit: int):
+    """Arrow batches joined to about `limit` bytes each, where larger ones repeat more of what is done once."""
+    held, weight = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            weight += batch.nbytes
+            if weight >= limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, weight = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text: row bounds (n + 1) and the words in a row."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))

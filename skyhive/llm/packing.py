@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyhive.llm.bpe import encoder
-from skyhive.llm.common import discard, id_and_text, prepare, spans, stored, table
+from skyhive.llm.common import flushes, id_and_text, prepare, spans, stored, table
 
 CAPACITY, GRAIN = 2048, 8
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, class int, rank long"
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     def run(batches):
         part, enc = TaskContext.get().partitionId(), encoder(vocabulary)
         met = np.zeros(-(-capacity // grain) + 1, np.int64)
-        for batch in batches:
+        for batch in flushes(batches, 8 << 20):
             lengths, ids = enc.encode(batch.column("text"))
             lengths = lengths + 1
             ends = np.cumsum(lengths)

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyhive.llm.bpe import PieceEncoder
-from skyhive.llm.common import id_and_text, prepare, spans, table
+from skyhive.llm.common import flushes, id_and_text, prepare, spans, table
 
 SPACE = "▁"
 UNKNOWN = 10.0
 
 
 class Model(PieceEncoder):
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import ahocorasick
         import sentencepiece
 
@@ -136,7 +136,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in flushes(batches, 8 << 20):
             lengths, ids = model(path).encode(batch.column("text"))
             edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             cells = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4").tobytes())])

@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhive.llm.common import discard, prepare, spans, stored, table, words_of
+from skyhive.llm.common import discard, flushes, prepare, spans, stored, table, words_of
 
 WINDOW, PERIOD, COVER = 35, 21, (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
-FLUSH, BUCKET = 16 << 20, 8 << 20
+FLUSH, BUCKET = 12 << 20, 6 << 20
 
 _PACKED = "bucket int, key binary, check binary, doc binary, tag binary, pos binary"
 _PACKED_ARROW = [("bucket", pa.int32())] + [(c, pa.binary()) for c in ("key", "check", "doc", "tag", "pos")]
@@ -126,12 +126,9 @@ def _anchors(buckets: int, window: int, period: int, cover: tuple[int, ...]):
     chosen[list(cover)] = True
 
     def run(batches):
-        held, weight = [], 0
-
-        def flush():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            texts = rows.column("text").combine_chunks()
-            doc, tag = _identity(rows.column("doc_id").combine_chunks(), texts)
+        for rows in flushes(batches, FLUSH):
+            texts = rows.column("text")
+            doc, tag = _identity(rows.column("doc_id"), texts)
             bounds, words = words_of(texts)
             hashes = window_hashes(lanes(words, (1,))[0], size)
             count = np.diff(bounds)
@@ -141,17 +138,7 @@ def _anchors(buckets: int, window: int, period: int, cover: tuple[int, ...]):
             on = chosen[pos % period]
             pos, owner = pos[on], owner[on]
             entries, answers = _sent(hashes[bounds[owner] + pos], None, doc[owner], tag[owner], pos, buckets, np.uint32)
-            return _table(entries + answers, _PACKED_ARROW)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                weight += batch.nbytes
-                if weight >= FLUSH:
-                    yield flush()
-                    held, weight = [], 0
-        if held:
-            yield flush()
+            yield _table(entries + answers, _PACKED_ARROW)
 
     return run
 

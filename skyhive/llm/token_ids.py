@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyhive.llm.bpe import encoder
-from skyhive.llm.common import discard, fresh_path, id_and_text, prepare, spans, spread, stored, table
+from skyhive.llm.common import discard, flushes, fresh_path, id_and_text, prepare, spans, spread, stored, table
 
 LANES, SEGMENT, BLOCK = 64, 128, 1 << 16
 LOW = np.uint64(1 << 31)  # a state stays in [LOW, LOW * 2 ** 32)
@@ -159,7 +159,7 @@ def _gather(vocabulary: str, end_id: int):
             seq, first, docs, sizes, chunks, held = seq + 1, first + held, [], [], [], 0
             return row
 
-        for batch in batches:
+        for batch in flushes(batches, 8 << 20):
             lengths, ids = enc.encode(batch.column("text"))
             lengths = lengths + 1
             out = np.full(int(lengths.sum()), end_id, np.uint32)
