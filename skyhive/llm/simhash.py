@@ -171,9 +171,8 @@ def _small(key: np.ndarray, home: np.ndarray, node: np.ndarray, carried: np.ndar
 
 
 def _compare(carried: list[str], threshold: int, crowd: int):
-    """Sorted rows of whole anchors to links; rows of a crowded anchor are passed on, numbered by part."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("home", pa.bool_()), ("part", pa.int32()),
-                        *((c, pa.int64()) for c in carried)])
+    """Sorted rows of whole anchors to links; a crowded anchor is passed on in numbered parts, one packed row each."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("packed", pa.binary())])
 
     def links(found):
         pairs = np.unique(np.array([(min(x), max(x)) for x in found], np.int64).reshape(-1, 2), axis=0)
@@ -188,9 +187,8 @@ def _compare(carried: list[str], threshold: int, crowd: int):
             return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "home", "node", *carried)])
 
         def passed(rows):
-            n = rows.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array(rows[2].copy()), pa.nulls(n, pa.int64()), pa.array(rows[0].copy()), pa.array(rows[1].astype(bool)),
-                                               pa.array(np.full(n, part, np.int32)), *(pa.array(r.copy()) for r in rows[3:])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(rows[0, 0])], pa.int64()),
+                                               pa.array([part], pa.int32()), pa.array([rows[1:].tobytes()], pa.binary())], schema=schema)
 
         def finish(rows):
             nonlocal crowded, part
@@ -233,8 +231,7 @@ def _compare(carried: list[str], threshold: int, crowd: int):
         if held:
             yield from finish(held[0])
 
-    kinds = "".join(f", {c} long" for c in carried)
-    return run, f"a long, b long, key long, home boolean, part int{kinds}"
+    return run, "a long, b long, key long, part int, packed binary"
 
 
 def _shared(batches):
@@ -286,7 +283,7 @@ def links(nodes: DataFrame, n_blocks: int, carried: list[str], threshold: int, c
     run, schema = _compare(carried, threshold, crowd)
     ordered = dealt.repartition("key").sortWithinPartitions("key")
     met = stored(ordered.mapInArrow(run, schema), "anchor-links")
-    crowds = met.where("key is not null").withColumnRenamed("a", "node").drop("b")
+    crowds = met.where("key is not null").select("key", "part", "packed")
     parts = crowds.groupBy("key").agg((F.max("part") + 1).alias("parts"))
     paired = (crowds.join(parts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}))
@@ -295,11 +292,12 @@ def links(nodes: DataFrame, n_blocks: int, carried: list[str], threshold: int, c
         held: list[pa.RecordBatch] = []
 
         def pair(rows: pa.Table):
-            node = rows.column("node").to_numpy()
-            data = np.stack([rows.column(c).to_numpy() for c in carried], axis=1)
-            part, home = rows.column("part").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
             low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-            one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+            parts = {p: np.frombuffer(c, np.int64).reshape(2 + len(carried), -1) for p, c in zip(rows.column("part").to_pylist(), rows.column("packed").to_pylist())}
+            whole = parts[low] if low == high else np.concatenate([parts[low], parts[high]], axis=1)
+            home, node, data = whole[0].astype(bool), whole[1], whole[2:].T
+            one = np.arange(parts[low].shape[1])
+            two = one if low == high else np.arange(len(one), whole.shape[1])
             found = compared(node, data, one[home[one]], two, threshold)
             if low != high:
                 found += compared(node, data, two[home[two]], one, threshold)
