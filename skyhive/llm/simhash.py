@@ -13,18 +13,19 @@ nearly everything at a large radius. Two blocks make 34 rows, each anchor's addr
 Only distinct fingerprints take part, so copies cost nothing. An anchor's linked pairs are reduced to a
 spanning forest where they are found; an anchor with more than CROWD members is dealt out as pairs of its
 parts. Nothing is capped.
+
+Near copies by the likeness of shingle sets (`without_copies`) take bands of MinHash values instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyhive.llm.common import discard, id_and_text, prepare, spans, stored, table, words_of
+from skyhive.llm.common import discard, id_and_text, prepare, spans, stored, table
 from skyhive.llm.components import components
 
 CROWD = 2048
@@ -342,57 +343,52 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, seed: i
         prints.where("doc_id is null").select("doc_id", "print", F.lit(None).cast("long").alias("component_id")))
 
 
-def bits_of_words(words: pa.Array, bounds: np.ndarray, longs: int) -> np.ndarray:
-    """SimHash of 64 * longs bits of single words, repeats included, for each text; big-endian bytes."""
-    coded = words.dictionary_encode()
-    which, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, s) for w in names for s in range(-(-longs // 2))), np.uint8)
-    bits = np.unpackbits(hashes.reshape(len(names), -1)[:, :8 * longs], axis=1) if len(names) else np.zeros((0, 64 * longs), np.uint8)
-    out = np.zeros((len(bounds) - 1, 8 * longs), np.uint8)
-    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if b > a:
-            distinct, times = np.unique(which[a:b], return_counts=True)
-            out[i] = np.packbits(2.0 * (times.astype(np.float32) @ bits[distinct].astype(np.float32)) > b - a)
-    return out
-
-
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8"))
 
 
-WORD_LONGS, SHINGLE_LONGS, CANDIDATE_BITS = 4, 4, 56
+BANDS, BAND_ROWS = 32, 4
+_FACTORS = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"factor", i) for i in range(BANDS * BAND_ROWS // 2)), np.uint64) | np.uint64(1)
+_OFFSETS = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"offset", i) for i in range(BANDS * BAND_ROWS // 2)), np.uint64)
+PART, PART_BYTES = 1024, 4 << 20
+
+
+def band_keys(shingles: np.ndarray) -> bytes:
+    """MinHash of a set of shingle hashes: for each band eight bytes that stand for its BAND_ROWS least values."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(2 ** 64 - 1))
+    values = shingles.astype(np.uint64)
+    for i in range(0, len(values), 2048):
+        np.minimum(least, ((values[i:i + 2048, None] ^ _OFFSETS) * _FACTORS).min(0), out=least)
+    rows = least.tobytes()
+    return b"".join(xxhash.xxh64_digest(rows[i:i + 8 * BAND_ROWS], i) for i in range(0, len(rows), 8 * BAND_ROWS))
 
 
 def _prints_of_copies(words: int):
-    names = ["row_a", "row_b", "doc_id", "same_a", "same_b", "blocks", *(f"p{i}" for i in range(SHINGLE_LONGS))]
+    names = ["row_a", "row_b", "doc_id", "same_a", "same_b", "size", "bands"]
 
     def run(batches):
         for batch in batches:
-            texts = pc.ascii_lower(batch.column("text").cast(pa.large_string()))
-            bounds, found = words_of(texts)
-            blocks = bits_of_words(found, bounds, WORD_LONGS)
-            shingles, same = [], []
-            for t in texts.cast(pa.large_binary()).to_pylist():
-                parts = t.split()
-                line = b" ".join(parts)
-                same.append(xxhash.xxh3_128_digest(line))
-                ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-                starts = np.concatenate([[0], ends[:-1] + 1]) if parts else ends
-                n = max(1, len(parts) - words + 1) if parts else 0
-                last = ends[min(words, len(parts)) - 1:][:n] if parts else ends
-                digest = xxhash.xxh3_128_digest
-                distinct = {digest(line[a:b]) for a, b in zip(starts[:n].tolist(), last.tolist())}
-                wide = b"".join(d + digest(d) for d in distinct)
-                shingles.append(fingerprint(wide, 8 * SHINGLE_LONGS).tobytes())
-            longs = np.frombuffer(b"".join(shingles), ">i8").astype(np.int64).reshape(-1, SHINGLE_LONGS)
+            same, sizes, bands = [], [], []
+            for t in batch.column("text").to_pylist():
+                text = t.encode().lower()
+                same.append(xxhash.xxh3_128_digest(b" ".join(text.split())))
+                shingles = shingle_set(text, words)
+                sizes.append(len(shingles))
+                bands.append(band_keys(shingles))
             twin = np.frombuffer(b"".join(same), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id"), pa.array(twin[:, 0].copy()), pa.array(twin[:, 1].copy()),
-                 pa.array([b.tobytes() for b in blocks], pa.binary()), *(pa.array(longs[:, i].copy()) for i in range(SHINGLE_LONGS))], names=names)
+                 pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], names=names)
 
     return run
 
 
+def _banded(batches):
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), ">i8").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["key", "node"])
+
+
 def _shingle_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -416,32 +412,111 @@ def _alike(similarity: float):
     return run
 
 
+def joined_by_sets(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, split: int = 0) -> list[tuple[int, int]]:
+    """Links that join all rows whose sets are alike. label: what verified links already join; such pairs are the
+    only ones left out. With `split`, rows before it are held against those from it on."""
+    n, sizes = len(node), np.array([len(s) for s in sets], np.int64)
+    label = np.unique(label, return_inverse=True)[1]
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(n), sizes)[order]  # rows by shingle
+    starts = np.searchsorted(code[order], np.arange(code.max() + 2 if len(code) else 1))
+    bounds, found = np.concatenate([[0], np.cumsum(sizes)]), []
+    for i in range(split or n):
+        apart = label != label[i]
+        apart[:split or i] = False
+        if not apart.any():
+            continue
+        mine = code[bounds[i]:bounds[i + 1]]
+        both = np.bincount(holder[spans(starts[mine], starts[mine + 1] - starts[mine])], minlength=n)
+        for j in np.flatnonzero(apart & (both >= similarity * (sizes[i] + sizes - both) - 1e-9)).tolist():
+            if label[j] != label[i]:
+                found.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _parts_joined(similarity: float):
+    """Rows key, low, high, part, members, sorted by the first three: links within a part, or between two."""
+
+    def members(rows, at):
+        one = rows.column("members").combine_chunks() if isinstance(rows, pa.Table) else rows.column("members")
+        one = one.slice(at, 1).flatten()
+        return (one.field("node").to_numpy(), one.field("label").to_numpy(), [np.frombuffer(x, ">u8") for x in one.field("shingles").to_pylist()])
+
+    def run(batches):
+        held = None  # first of two parts
+        for batch in batches:
+            found, rows = [], [batch.column(c).to_pylist() for c in ("key", "low", "high")]
+            for at, mark in enumerate(zip(*rows)):
+                mine = members(batch, at)
+                if mark[1] == mark[2]:
+                    found += joined_by_sets(*mine, similarity)
+                elif held is not None and held[0] == mark:
+                    first = held[1]
+                    found += joined_by_sets(np.concatenate([first[0], mine[0]]), np.concatenate([first[1], mine[1]]), first[2] + mine[2], similarity, len(first[0]))
+                    held = None
+                else:
+                    held = mark, mine
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return run
+
+
+def links_of_sets(nodes: DataFrame, sets_of, similarity: float, part: int = PART) -> DataFrame:
+    """Links (a, b) that join all nodes that share a band and whose sets are alike. nodes: node, size, bands;
+    sets_of(nodes) gives node and shingles.
+
+    First every member of a band's key is held against the smallest one. Keys whose members these verified links
+    do not join wholly are then searched for all links between what is still apart, a large one in pairs of parts.
+    """
+    banded = nodes.select("node", "bands").mapInArrow(_banded, "key long, node long")
+    least = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
+    shared = stored(banded.join(least, "key"), "shared-bands")
+    sets = stored(sets_of(shared.select("node").distinct()), "shingle-sets")
+    near = stored(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near")
+    sided = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    true = stored(sided.select("a", "b", "of_a", "of_b").mapInArrow(_alike(similarity), "a long, b long"), "verified")
+    placed = (shared.select("key", "node").join(components(true), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+              .join(nodes.select("node", "size"), "node"))
+    open_keys = (placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("label").alias("l"), F.max("label").alias("h"),
+                                           F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+                 .where("n > 2 and l <> h").groupBy("n", "weight", "x", "y").agg(F.min("key").alias("key")))  # bands with the same members count once
+    parts = F.greatest(F.ceil(F.col("n") / part), F.ceil(8 * F.col("weight") / PART_BYTES)).cast("int")
+    left = stored(placed.join(open_keys.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open-bands")
+    packed = left.join(sets, "node").groupBy("key", "parts", "part").agg(F.collect_list(F.struct("node", "label", "shingles")).alias("members"))
+    paired = (packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "members"))
+    more = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_parts_joined(similarity), "a long, b long")
+    found = stored(true.unionByName(more), "set-links")
+    discard(shared, sets, near, left)
+    return found
+
+
 def without_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies (Jaccard of word shingles), that with the smallest doc_id.
 
-    Anchors are those of a 256-bit SimHash of single words, which near copies share almost whole: eight blocks
-    find any two that differ in up to 15 bits, and most beyond. Members of an anchor are compared by a 256-bit
-    SimHash of their shingles, nearest first; the links found are checked on the shingles themselves.
+    Candidates share one of 32 bands of four MinHash values of their shingle sets: a pair at similarity s is missed
+    with probability (1 - s^4)^32, 5e-8 at 0.8, wherever its differences sit. All links are verified on the sets.
     Rows without doc_id go before those with one. All columns pass through.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     key_a, key_b = F.xxhash64("doc_id", text), F.xxhash64(text, F.lit(7), "doc_id")
     rows = docs.select(key_a.alias("row_a"), key_b.alias("row_b"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    longs = [f"p{i}" for i in range(SHINGLE_LONGS)]
-    prints = stored(rows.mapInArrow(_prints_of_copies(words), "row_a long, row_b long, doc_id long, same_a long, same_b long, blocks binary, " + ", ".join(f"{p} long" for p in longs)), "prints")
+    prints = stored(rows.mapInArrow(_prints_of_copies(words), "row_a long, row_b long, doc_id long, same_a long, same_b long, size long, bands binary"), "prints")
     # one node for each text; its number is that of its first row
     first = F.min_by(F.struct("row_a", "row_b", "doc_id"), F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)), "row_a"))
-    nodes = stored(prints.groupBy("same_a", "same_b", "blocks", *longs).agg(first.alias("r")).select("same_a", "same_b", "blocks", *longs, "r.*")
+    nodes = stored(prints.groupBy("same_a", "same_b", "size", "bands").agg(first.alias("r")).select("size", "bands", "r.*")
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
-    near = stored(links(nodes.select("node", "blocks", *longs), 2 * WORD_LONGS, longs, CANDIDATE_BITS).distinct(), "near")
-    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_a", "row_b"), "node")
-    sets = stored(rows.select("row_a", "row_b", "text").join(ends, ["row_a", "row_b"]).select("node", "text").mapInArrow(_shingle_sets(words), "node long, shingles binary")
-                  .groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    sided = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    true = stored(sided.select("a", "b", "of_a", "of_b").mapInArrow(_alike(similarity), "a long, b long"), "verified")
-    discard(sets)
-    roots = components(true)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ends = wanted.join(nodes.select("node", "row_a", "row_b"), "node")
+        found = rows.select("row_a", "row_b", "text").join(ends, ["row_a", "row_b"]).select("node", "text").mapInArrow(_shingle_sets(words), "node long, shingles binary")
+        return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    roots = components(links_of_sets(nodes, sets_of, similarity))
     grouped = nodes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     best = grouped.groupBy("group").agg(F.min_by("node", F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)), "row_a")).alias("stays"))
     keepers = stored(grouped.join(best, "group").where(F.col("node") == F.col("stays")).select("row_a", "row_b"), "keepers")

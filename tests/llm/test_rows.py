@@ -169,6 +169,32 @@ def test_one_of_each_group_stays(llm_spark, corpus, nothing):
     assert simhash.without_copies(nothing).count() == 0
 
 
+def stays(spark, texts):
+    return simhash.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+
+
+@pytest.mark.parametrize("edit", ["appended", "repeated", "cut", "block"])
+def test_edits_in_one_place_are_found_at_the_threshold(llm_spark, edit):
+    rng, texts, pairs = random.Random(11), [], 60
+    word = lambda: "w%d" % rng.randrange(3000)
+    for k in range(pairs):
+        n = rng.choice([80, 120, 400] if edit == "block" else [40, 120, 400])
+        base = [word() for _ in range(n)]
+        m = (n - 4) // 4 - 1 if edit == "appended" else (n - 4) // 5 - 1 if edit == "cut" else (n - 4) // 9 - 5
+        if edit == "appended":
+            other = base + [word() for _ in range(m)]
+        elif edit == "repeated":  # one word as often as half the text: weighs in counts, hardly in the set
+            other = base + ["again"] * (n // 2)
+        elif edit == "cut":
+            other = base[:-m]
+        else:
+            other = base[:n // 2] + [word() for _ in range(m)] + base[n // 2 + m:]
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (base, other))
+        assert len(a & b) >= 0.8 * len(a | b)
+        texts += [" ".join(base), " ".join(other)]
+    assert stays(llm_spark, texts) == pairs
+
+
 def test_quality_learns_held_out_labels(llm_spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
