@@ -195,6 +195,18 @@ def test_edits_in_one_place_are_found_at_the_threshold(llm_spark, edit):
     assert stays(llm_spark, texts) == pairs
 
 
+@pytest.mark.parametrize("part", [1024, 50])
+@pytest.mark.parametrize("appended", [22, 26])
+def test_links_within_a_shared_template_are_all_checked(llm_spark, monkeypatch, appended, part):
+    monkeypatch.setattr(simhash.links_of_sets, "__defaults__", (part,))
+    rng = random.Random(3)
+    base = ["b%d" % i for i in range(200)]
+    texts = [base] + [base + ["x%d" % rng.randrange(10 ** 6) for _ in range(2 * rng.randint(appended - 9, appended))] for _ in range(200)]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert stays(llm_spark, [" ".join(t) for t in texts[::-1]]) == len(set(groups(range(len(sets)), links).values()))
+
+
 def test_quality_learns_held_out_labels(llm_spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(300)]
