@@ -1,4 +1,7 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi, or merges in order.
+
+Unigram models take the automaton. Scores of a BPE model are merge ranks, whose best sum is not the model's encoding;
+with `own_rule` its ids come from merges in that order, as the model defines them.
 
 The model file gives pieces and scores. The automaton holds all ordinary pieces; at each character its output
 links name every piece that ends there, longest first, and each relaxes the best score at that position. The
@@ -16,6 +19,8 @@ ids whose bytes are not UTF-8 decode with U+FFFD.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,11 +35,12 @@ UNKNOWN = 10.0
 
 
 class Model(PieceEncoder):
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 450_000, own_rule: bool = False):
         import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.segment = self.merged if own_rule and is_bpe(model) else self.viterbi
         self.size = model.get_piece_size()
         self.automaton = ahocorasick.Automaton()
         self.pieces, self.bytes_id, self.out = {}, {}, []
@@ -94,17 +100,46 @@ class Model(PieceEncoder):
             at = start
         return ids[::-1]
 
+    def merged(self, text: str) -> list[int]:
+        """The same by merges: of all neighbours that make a piece the best scored, of equal ones the first, join."""
+        n, pieces = len(text), self.pieces
+        size, before, heap = [1] * n, list(range(-1, n - 1)), []
+        for i in range(n - 1):
+            if (piece := pieces.get(text[i:i + 2])) is not None:
+                heap.append((-piece[0], i, 2))
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = i + size[i]
+            if not size[i] or j >= n or size[i] + size[j] != whole:
+                continue  # one of the two has changed
+            size[i], size[j] = whole, 0
+            k = i + whole
+            if k < n:
+                before[k] = i
+                if (piece := pieces.get(text[i:k + size[k]])) is not None:
+                    heapq.heappush(heap, (-piece[0], i, whole + size[k]))
+            b = before[i]
+            if b >= 0 and (piece := pieces.get(text[b:k])) is not None:
+                heapq.heappush(heap, (-piece[0], b, k - b))
+        ids, i = [], 0
+        while i < n:
+            piece = pieces.get(text[i:i + size[i]])
+            ids += [piece[1]] if piece is not None else [self.bytes_id[b] for b in text[i].encode()]
+            i += size[i]
+        return ids
+
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
         found = []
         for p in pieces:
             text = p.decode()
             if SPACE not in text:
-                found.append(self.viterbi(text.replace(" ", SPACE)))
+                found.append(self.segment(text.replace(" ", SPACE)))
                 continue
             ids = []
             for k, part in enumerate(text.split(SPACE)):  # the text's own U+2581 is never a space
                 ids += [self.bytes_id[b] for b in SPACE.encode()] if k else []
-                ids += self.viterbi(part.replace(" ", SPACE)) if part else []
+                ids += self.segment(part.replace(" ", SPACE)) if part else []
             found.append(ids)
         return found
 
@@ -122,22 +157,28 @@ class Model(PieceEncoder):
         return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-_models: dict[str, Model] = {}
+def is_bpe(model) -> bool:
+    from sentencepiece import sentencepiece_model_pb2
+
+    return sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec.model_type == 2
+
+
+_models: dict[tuple[str, bool], Model] = {}
 
 
-def model(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
+def model(path: str, own_rule: bool = False) -> Model:
+    if (path, own_rule) not in _models:
+        _models[path, own_rule] = Model(path, own_rule=own_rule)
+    return _models[path, own_rule]
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_pieces, ids (little-endian unsigned 32-bit)."""
+def encoded(docs: DataFrame, path: str, own_rule: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids (little-endian unsigned 32-bit); best sum of scores, or the model's own rule."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         for batch in flushes(batches, 8 << 20):
-            lengths, ids = model(path).encode(batch.column("text"))
+            lengths, ids = model(path, own_rule).encode(batch.column("text"))
             edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             cells = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths.astype(np.int64)), cells.cast(pa.binary())], schema=schema)
@@ -164,5 +205,5 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = decoded(encoded(table(spark, sf_dir, "documents"), path), path)
+    back = decoded(encoded(table(spark, sf_dir, "documents"), path, own_rule=True), path)
     return back.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))

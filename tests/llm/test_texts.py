@@ -216,6 +216,18 @@ def test_sentencepiece_against_dynamic_program(llm_spark, corpus, nothing):
     assert sentencepiece.encoded(nothing, PIECES).count() == 0
 
 
+def test_a_bpe_model_merges_as_its_library_does(llm_spark, corpus):
+    import sentencepiece as library
+
+    rows, docs = corpus
+    rows = rows + [(9000, "Elle va à l'école ; les enfants jouent   dehors.\n\tDas Mädchen reads naïve 日本語 books")]
+    docs = llm_spark.createDataFrame([r for r in rows if "▁" not in (r[1] or "")], "doc_id long, text string")
+    theirs = library.SentencePieceProcessor(model_file=PIECES)
+    wanted = [(i, theirs.encode(t or ""), t or "") for i, t in rows if "▁" not in (t or "")]
+    found = sentencepiece.decoded(sentencepiece.encoded(docs, PIECES, own_rule=True), PIECES).collect()
+    same_rows([(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["text"]) for r in found], wanted)
+
+
 def test_long_pairs_are_tried_again(llm_spark):
     pairs = llm_spark.range(3).select(F.col("id").alias("pair"), F.transform(F.sequence(F.lit(1), F.col("id") * 700 + 1), lambda x: fingerprint._digest(x)).alias("left"),
                                       F.array(fingerprint._digest(F.lit(1).cast("long"))).alias("right"))
