@@ -16,6 +16,9 @@ MODULES = {
     "op8_token_ids": "token_ids",
     "op9_quality": "quality",
     "op10_max_score": "topk",
+    "op11_whitening": "whitening",
+    "op12_phrases": "phrases",
+    "op13_byte_bpe": "byte_merges",
 }
 
 
@@ -24,6 +27,7 @@ def all_queries():
 
 
 def all_oracles() -> dict[str, str]:
+    from skyhive.llm.phrases import OP12_SQL
     from skyhive.llm.topk import OP10_SQL
 
-    return {"op10_max_score": OP10_SQL}
+    return {"op10_max_score": OP10_SQL, "op12_phrases": OP12_SQL}
