@@ -9,9 +9,10 @@
    frequent if its parts are, so nothing frequent is left uncounted, whatever the sample was.
 
 S travels as a bitmap of hashes of at most BITS bits, whatever the corpus: a false hit only counts a phrase more.
-Which phrases a pass has counted follows from the bitmap alone, so passes never count a phrase twice. Counts are kept
-by the words themselves, never by a hash. Tasks add up what a few megabytes of text hold before the shuffle, so a
-phrase that stands everywhere is a row per piece of input, not one per occurrence.
+Which phrases a pass has counted follows from the bitmap alone, so passes never count a phrase twice. These passes
+count 64-bit keys, so two phrases of one key can only be taken for frequent too early; a last pass counts the phrases
+of the frequent keys by their words, and its counts are the result. Tasks add up what a few megabytes of text hold
+before the shuffle, so a phrase that stands everywhere is a row per piece of input, not one per occurrence.
 
 Score of a phrase cut after its first k words: floor(2,000,000 * a / (l + r)) with a, l, r the counts of the phrase
 and its two parts; the lowest-scoring cut counts, ties to the smallest k. A phrase inside a longer one with
@@ -23,13 +24,13 @@ has no rows; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
-import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +39,13 @@ from skyhive.llm.common import discard, flushes, prepare, stored, table
 #: Most words of a phrase; least count; most rows a language returns; documents per sampled document.
 LONGEST, MINIMUM, ROWS, EVERY = 4, 30, 2000, 4
 #: Largest bitmap (32 MB); bytes of text counted together in a task.
-BITS, FLUSH = 1 << 28, 4 << 20
+BITS, FLUSH = 1 << 28, 8 << 20
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-COUNTS = "lang string, words int, phrase string, a long"
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, zlib.crc32(lang.encode()))
+KEYS, COUNTS = "key long, words int, a long", "lang string, words int, phrase string, a long"
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -58,13 +55,6 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    level = np.array([word_hash(lang, w) for w in phrase.encode().split(b" ")], np.uint64)
-    while len(level) > 1:
-        level = mixed(level[:-1], level[1:])
-    return int(level[0])
-
-
 def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -86,14 +76,15 @@ class Part:
         bounds = np.append((np.cumsum(inside) - inside)[starts], inside.sum()).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[inside]])])
         words = words.dictionary_encode()
-        spelled = words.dictionary.to_pylist()
+        spelled = words.dictionary.cast(pa.large_string()).to_pylist()
         # the same word of two languages is two
         key, self.word = np.unique(langs[of_text].astype(np.int64) * max(1, len(spelled)) + words.indices.to_numpy(), return_inverse=True)
         lang, spell = np.divmod(key, max(1, len(spelled)))
         self.lang = pa.array(names, pa.string()).take(pa.array(lang))
         self.spelled = words.dictionary.cast(pa.large_string()).take(pa.array(spell))
         self.n = len(key)
-        hashes = np.fromiter((word_hash(names[a], spelled[b]) for a, b in zip(lang, spell)), np.uint64, len(key))
+        hashed = lambda values: pd.util.hash_array(np.array(values, object), categorize=False)
+        hashes = mixed(hashed(names)[lang], hashed(spelled)[spell]) if len(key) else np.zeros(0, np.uint64)
         self.hash = [None, hashes[self.word]]
         same = piece[1:] == piece[:-1]
         self.fits = [None, np.ones(len(starts), bool), np.append(same, False)[:len(starts)]]
@@ -147,29 +138,43 @@ def parts(batches, flush: int = FLUSH):
             at = to
 
 
+def _keyed(part: Part, n: int, where: np.ndarray) -> pa.RecordBatch:
+    key, a = np.unique(part.hash[n][where], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), n, np.int32)), pa.array(a.astype(np.int64))], names=["key", "words", "a"])
+
+
 def _sampled(batches):
-    """Hash and count of all phrases of a part but the longest."""
+    """Keys and counts of all phrases but the longest."""
     for part in parts(batches):
         for n in range(1, LONGEST):
-            key, a = np.unique(part.hash[n][part.fits[n]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a.astype(np.int64))], names=["key", "a"])
+            yield _keyed(part, n, part.fits[n])
 
 
-def _full(now, before):
-    """Counts of a pass: S and its border by `now`, but what a pass with the bitmap `before` has counted."""
+def _border(now, before):
+    """Keys and counts of a pass: S and its border by `now`, without what a pass with the bitmap `before` has counted."""
     def run(batches):
         bitmap = np.frombuffer(now.value, np.uint8)
         earlier = np.frombuffer(before.value, np.uint8) if before is not None else None
         for part in parts(batches):
-            if before is None:  # words of each language in all
-                first = part.counted(1, part.fits[1])
-                total = pa.table([first.column("lang"), first.column("a")], names=["lang", "a"]).group_by("lang").aggregate([("a", "sum")])
-                yield _rows(total["lang"].combine_chunks(), 0, pa.array([""] * len(total)), total["a_sum"].to_numpy())
-                yield first
-            for n in range(2, LONGEST + 1):
+            for n in range(1 if before is None else 2, LONGEST + 1):
                 where = part.border(n, bitmap)
-                if before is not None:
+                if before is not None and where.any():
                     where &= ~part.border(n, earlier)
+                if where.any():
+                    yield _keyed(part, n, where)
+
+    return run
+
+
+def _by_words(frequent):
+    """Phrases whose keys the bitmap holds, with counts, and as phrases of 0 words the words of each language in all."""
+    def run(batches):
+        bitmap = np.frombuffer(frequent.value, np.uint8)
+        for part in parts(batches):
+            total = pa.table([part.lang, pa.array(np.bincount(part.word, minlength=part.n))], names=["lang", "a"]).group_by("lang").aggregate([("a", "sum")])
+            yield _rows(total["lang"].combine_chunks(), 0, pa.array([""] * len(total)), total["a_sum"].to_numpy())
+            for n in range(1, LONGEST + 1):
+                where = part.fits[n] & has(bitmap, part.hash[n])
                 if where.any():
                     yield part.counted(n, where)
 
@@ -177,12 +182,12 @@ def _full(now, before):
 
 
 def _not_in(bitmap):
-    """Keys of frequent phrases that the bitmap does not hold."""
+    """Keys that the bitmap does not hold."""
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            keys = np.array([phrase_hash(a, b) for a, b in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[~has(bits, keys)].view(np.int64))], names=["key"])
+            keys = batch.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[~has(bits, keys.view(np.uint64))])], names=["key"])
 
     return run
 
@@ -199,29 +204,29 @@ def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
 
 def frequent(docs: DataFrame, minimum: int = MINIMUM, every: int = EVERY, largest: int = BITS) -> tuple[DataFrame, int]:
     """lang, words (1 to 4), phrase, a of all phrases with a count of at least `minimum`, and per language a row of 0 words
-    with the count of all words; and the number of passes over all documents. docs: doc_id, text, lang."""
+    with the count of all words; and the number of counting passes. docs: doc_id, text, lang."""
     spark = prepare(docs.sparkSession)
     read = lambda some: some.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows, picked = read(docs), read(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
     expected = minimum / every
     lowered = max(1, math.floor(expected - 1.5 * math.sqrt(expected)))
-    proposed = stored(picked.mapInArrow(_sampled, "key long, a long").groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= lowered).select("key"), "proposed")
-    bits = 1 << max(15, min(largest.bit_length() - 1, (16 * proposed.count()).bit_length()))
-    bitmap, before, found, passes = bitmap_of(proposed, bits), None, [], 0
+    summed = lambda counts: counts.groupBy("key", "words").agg(F.sum("a").alias("a"))
+    bits_for = lambda n: 1 << max(15, min(largest.bit_length() - 1, (16 * n).bit_length()))
+    proposed = stored(summed(picked.mapInArrow(_sampled, KEYS)).where(F.col("a") >= lowered).select("key"), "proposed")
+    bits = bits_for(proposed.count())
+    bitmap, before, found = bitmap_of(proposed, bits), None, []
     discard(proposed)
     while True:
         now = spark.sparkContext.broadcast(bitmap.tobytes())
-        counts = rows.mapInArrow(_full(now, before), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
-        found.append(stored(counts.where((F.col("a") >= minimum) | (F.col("words") == 0)), "frequent"))
-        passes += 1
-        failures = stored(found[-1].where(F.col("words").between(1, LONGEST - 1)).select("lang", "phrase").mapInArrow(_not_in(now), "key long"), "failures")
+        found.append(stored(summed(rows.mapInArrow(_border(now, before), KEYS)).where(F.col("a") >= minimum).select("key", "words"), "keys"))
+        failures = stored(found[-1].where(F.col("words") < LONGEST).mapInArrow(_not_in(now), "key long"), "failures")
         if failures.isEmpty():
             break
         before, bitmap = now, bitmap | bitmap_of(failures, bits)
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole, passes
+    keys = functools.reduce(DataFrame.unionByName, found)
+    sure = spark.sparkContext.broadcast(bitmap_of(keys, bits_for(keys.count())).tobytes())
+    counts = rows.mapInArrow(_by_words(sure), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    return stored(counts.where((F.col("a") >= minimum) | (F.col("words") == 0)), "frequent"), len(found)
 
 
 def collocations(docs: DataFrame, minimum: int = MINIMUM, rows: int = ROWS, every: int = EVERY) -> DataFrame:
