@@ -76,16 +76,11 @@ class Part:
         bounds = np.append((np.cumsum(inside) - inside)[starts], inside.sum()).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[inside]])])
         words = words.dictionary_encode()
-        spelled = words.dictionary.cast(pa.large_string()).to_pylist()
-        # the same word of two languages is two
-        key, self.word = np.unique(langs[of_text].astype(np.int64) * max(1, len(spelled)) + words.indices.to_numpy(), return_inverse=True)
-        lang, spell = np.divmod(key, max(1, len(spelled)))
-        self.lang = pa.array(names, pa.string()).take(pa.array(lang))
-        self.spelled = words.dictionary.cast(pa.large_string()).take(pa.array(spell))
-        self.n = len(key)
+        self._of = (langs[of_text].astype(np.int64), words.indices.to_numpy(), names, words.dictionary.cast(pa.large_string()))
         hashed = lambda values: pd.util.hash_array(np.array(values, object), categorize=False)
-        hashes = mixed(hashed(names)[lang], hashed(spelled)[spell]) if len(key) else np.zeros(0, np.uint64)
-        self.hash = [None, hashes[self.word]]
+        lang, which = self._of[:2]
+        first = mixed(hashed(names)[lang], hashed(self._of[3].to_pylist())[which]) if len(which) else np.zeros(0, np.uint64)
+        self.hash = [None, first]
         same = piece[1:] == piece[:-1]
         self.fits = [None, np.ones(len(starts), bool), np.append(same, False)[:len(starts)]]
         for n in range(2, LONGEST + 1):
@@ -93,6 +88,19 @@ class Part:
                 self.fits.append(self.fits[2] & np.append(self.fits[n - 1][1:], False)[:len(starts)])
             self.hash.append(mixed(self.hash[n - 1], np.append(self.hash[n - 1][1:], np.uint64(0))[:len(starts)]))
 
+    @functools.cached_property
+    def _numbered(self):
+        """Number of the word at each place (the same word of two languages is two), language and spelling by number."""
+        lang, which, names, spelled = self._of
+        key, word = np.unique(lang * max(1, len(spelled)) + which, return_inverse=True)
+        lang, spell = np.divmod(key, max(1, len(spelled)))
+        return word, pa.array(names, pa.string()).take(pa.array(lang)), spelled.take(pa.array(spell))
+
+    def totals(self) -> pa.RecordBatch:
+        """Words of each language, as a phrase of 0 words."""
+        lang, _, names, _ = self._of
+        return _rows(pa.array(names, pa.string()), 0, pa.array([""] * len(names)), np.bincount(lang, minlength=len(names)))
+
     def border(self, n: int, bitmap: np.ndarray) -> np.ndarray:
         """Places where a phrase of n words starts whose two shorter parts are in the bitmap."""
         if n == 1:
@@ -103,14 +111,15 @@ class Part:
     def counted(self, n: int, where: np.ndarray) -> pa.RecordBatch:
         """The distinct phrases of n words that start at these places, with their counts."""
         at = np.flatnonzero(where)
-        keys, ids = np.unique(self.word[at], return_inverse=True)
+        word, lang, spelled = self._numbered
+        keys, ids = np.unique(word[at], return_inverse=True)
         shown = [keys]
         for k in range(1, n):
-            keys, ids = np.unique(ids * self.n + self.word[at + k], return_inverse=True)
-            shown = [x[keys // self.n] for x in shown] + [keys % self.n]
-        texts = [self.spelled.take(pa.array(x)) for x in shown]
+            keys, ids = np.unique(ids * len(spelled) + word[at + k], return_inverse=True)
+            shown = [x[keys // len(spelled)] for x in shown] + [keys % len(spelled)]
+        texts = [spelled.take(pa.array(x)) for x in shown]
         phrase = texts[0] if n == 1 else pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string()))
-        return _rows(self.lang.take(pa.array(shown[0])), n, phrase, np.bincount(ids, minlength=len(shown[0])))
+        return _rows(lang.take(pa.array(shown[0])), n, phrase, np.bincount(ids, minlength=len(shown[0])))
 
 
 def _rows(lang, n, phrase, a) -> pa.RecordBatch:
@@ -133,7 +142,7 @@ def parts(batches, flush: int = FLUSH):
             to = int(ends[min(np.searchsorted(ends, at + flush), len(ends) - 1)])
             i, j = np.searchsorted(bounds, at, "right") - 1, np.searchsorted(bounds, to)
             part = Part(data[at:to], np.maximum(bounds[i:j] - at, 0), which[i:j], names)
-            if part.n:
+            if len(part.hash[1]):
                 yield part
             at = to
 
@@ -171,8 +180,7 @@ def _by_words(frequent):
     def run(batches):
         bitmap = np.frombuffer(frequent.value, np.uint8)
         for part in parts(batches):
-            total = pa.table([part.lang, pa.array(np.bincount(part.word, minlength=part.n))], names=["lang", "a"]).group_by("lang").aggregate([("a", "sum")])
-            yield _rows(total["lang"].combine_chunks(), 0, pa.array([""] * len(total)), total["a_sum"].to_numpy())
+            yield part.totals()
             for n in range(1, LONGEST + 1):
                 where = part.fits[n] & has(bitmap, part.hash[n])
                 if where.any():
