@@ -4,15 +4,16 @@
 2. One pass over all documents counts, exactly and together, S and its negative border: the phrases whose two
    shorter parts (without the last and without the first word) are in S, whether they are in S themselves or not. Any
    word has no shorter part, so all words are counted.
-3. A border phrase that turns out frequent is a failure of the sample: phrases that hold it were not counted. Passes
-   follow that count just those, with the failures added to S, until no pass finds a new one. A phrase can only be
-   frequent if its parts are, so nothing frequent is left uncounted, whatever the sample was.
+3. A border phrase that turns out frequent is a failure of the sample: phrases that hold it were not counted. The
+   next pass counts those too: every phrase not counted so far whose two shorter parts are each frequent or one of these new
+   phrases itself. That takes in whatever further expansion could ask for, so after this pass the result is closed. A
+   phrase can only be frequent if its parts are: nothing frequent is left uncounted, whatever the sample was.
 
-S travels as a bitmap of hashes of at most BITS bits, whatever the corpus: a false hit only counts a phrase more.
-Which phrases a pass has counted follows from the bitmap alone, so passes never count a phrase twice. These passes
-count 64-bit keys, so two phrases of one key can only be taken for frequent too early; a last pass counts the phrases
-of the frequent keys by their words, and its counts are the result. Tasks add up what a few megabytes of text hold
-before the shuffle, so a phrase that stands everywhere is a row per piece of input, not one per occurrence.
+S travels as a bitmap of hashes of at most BITS bits, whatever the corpus: a false hit only counts a phrase more. What
+the first pass has counted follows from the bitmap alone. That pass counts 64-bit keys, so two phrases of one key can only be
+taken for frequent too early; the second counts the phrases of frequent keys, and the new ones, by their words, and its counts
+are the result. Tasks add up what a few megabytes of text hold before the shuffle, so a phrase that stands everywhere is a row
+per piece of input, not one per occurrence.
 
 Score of a phrase cut after its first k words: floor(2,000,000 * a / (l + r)) with a, l, r the counts of the phrase
 and its two parts; the lowest-scoring cut counts, ties to the smallest k. A phrase inside a longer one with
@@ -39,7 +40,7 @@ from skyhive.llm.common import discard, flushes, prepare, stored, table
 #: Most words of a phrase; least count; most rows a language returns; documents per sampled document.
 LONGEST, MINIMUM, ROWS, EVERY = 4, 30, 2000, 4
 #: Largest bitmap (32 MB); bytes of text counted together in a task.
-BITS, FLUSH = 1 << 28, 8 << 20
+BITS, FLUSH = 1 << 28, 4 << 20
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
@@ -101,11 +102,11 @@ class Part:
         lang, _, names, _ = self._of
         return _rows(pa.array(names, pa.string()), 0, pa.array([""] * len(names)), np.bincount(lang, minlength=len(names)))
 
-    def border(self, n: int, bitmap: np.ndarray) -> np.ndarray:
-        """Places where a phrase of n words starts whose two shorter parts are in the bitmap."""
+    def border(self, n: int, held: np.ndarray | None) -> np.ndarray:
+        """Places where a phrase of n words starts whose two shorter parts are held (one bit per place)."""
         if n == 1:
             return self.fits[1]
-        inside = has(bitmap, self.hash[n - 1]) & self.fits[n - 1]
+        inside = held & self.fits[n - 1]
         return self.fits[n] & inside & np.append(inside[1:], False)[:len(inside)]
 
     def counted(self, n: int, where: np.ndarray) -> pa.RecordBatch:
@@ -159,32 +160,32 @@ def _sampled(batches):
             yield _keyed(part, n, part.fits[n])
 
 
-def _border(now, before):
-    """Keys and counts of a pass: S and its border by `now`, without what a pass with the bitmap `before` has counted."""
+def _border(proposed):
+    """Keys and counts of the proposed phrases and their border."""
     def run(batches):
-        bitmap = np.frombuffer(now.value, np.uint8)
-        earlier = np.frombuffer(before.value, np.uint8) if before is not None else None
+        bitmap = np.frombuffer(proposed.value, np.uint8)
         for part in parts(batches):
-            for n in range(1 if before is None else 2, LONGEST + 1):
-                where = part.border(n, bitmap)
-                if before is not None and where.any():
-                    where &= ~part.border(n, earlier)
+            for n in range(1, LONGEST + 1):
+                where = part.border(n, has(bitmap, part.hash[n - 1]) if n > 1 else None)
                 if where.any():
                     yield _keyed(part, n, where)
 
     return run
 
 
-def _by_words(frequent):
-    """Phrases whose keys the bitmap holds, with counts, and as phrases of 0 words the words of each language in all."""
+def _by_words(proposed, frequent):
+    """Counts by words of the phrases with frequent keys and of those that failures of the sample left out; and as
+    phrases of 0 words the words of each language in all."""
     def run(batches):
-        bitmap = np.frombuffer(frequent.value, np.uint8)
+        before, bitmap = np.frombuffer(proposed.value, np.uint8), np.frombuffer(frequent.value, np.uint8)
         for part in parts(batches):
             yield part.totals()
+            hopeful = None
             for n in range(1, LONGEST + 1):
-                where = part.fits[n] & has(bitmap, part.hash[n])
-                if where.any():
-                    yield part.counted(n, where)
+                left_out = part.border(n, hopeful) & ~part.border(n, has(before, part.hash[n - 1])) if n > 1 else False
+                hopeful = part.fits[n] & has(bitmap, part.hash[n]) | left_out
+                if hopeful.any():
+                    yield part.counted(n, hopeful)
 
     return run
 
@@ -212,7 +213,7 @@ def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
 
 def frequent(docs: DataFrame, minimum: int = MINIMUM, every: int = EVERY, largest: int = BITS) -> tuple[DataFrame, int]:
     """lang, words (1 to 4), phrase, a of all phrases with a count of at least `minimum`, and per language a row of 0 words
-    with the count of all words; and the number of counting passes. docs: doc_id, text, lang."""
+    with the count of all words; and the number of the sample's failures. docs: doc_id, text, lang."""
     spark = prepare(docs.sparkSession)
     read = lambda some: some.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows, picked = read(docs), read(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0))
@@ -222,19 +223,13 @@ def frequent(docs: DataFrame, minimum: int = MINIMUM, every: int = EVERY, larges
     bits_for = lambda n: 1 << max(15, min(largest.bit_length() - 1, (16 * n).bit_length()))
     proposed = stored(summed(picked.mapInArrow(_sampled, KEYS)).where(F.col("a") >= lowered).select("key"), "proposed")
     bits = bits_for(proposed.count())
-    bitmap, before, found = bitmap_of(proposed, bits), None, []
+    bitmap = spark.sparkContext.broadcast(bitmap_of(proposed, bits).tobytes())
     discard(proposed)
-    while True:
-        now = spark.sparkContext.broadcast(bitmap.tobytes())
-        found.append(stored(summed(rows.mapInArrow(_border(now, before), KEYS)).where(F.col("a") >= minimum).select("key", "words"), "keys"))
-        failures = stored(found[-1].where(F.col("words") < LONGEST).mapInArrow(_not_in(now), "key long"), "failures")
-        if failures.isEmpty():
-            break
-        before, bitmap = now, bitmap | bitmap_of(failures, bits)
-    keys = functools.reduce(DataFrame.unionByName, found)
+    keys = stored(summed(rows.mapInArrow(_border(bitmap), KEYS)).where(F.col("a") >= minimum).select("key", "words"), "keys")
+    failures = keys.where(F.col("words") < LONGEST).mapInArrow(_not_in(bitmap), "key long").count()
     sure = spark.sparkContext.broadcast(bitmap_of(keys, bits_for(keys.count())).tobytes())
-    counts = rows.mapInArrow(_by_words(sure), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
-    return stored(counts.where((F.col("a") >= minimum) | (F.col("words") == 0)), "frequent"), len(found)
+    counts = rows.mapInArrow(_by_words(bitmap, sure), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
+    return stored(counts.where((F.col("a") >= minimum) | (F.col("words") == 0)), "frequent"), failures
 
 
 def collocations(docs: DataFrame, minimum: int = MINIMUM, rows: int = ROWS, every: int = EVERY) -> DataFrame:
