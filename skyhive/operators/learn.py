@@ -1,22 +1,39 @@
-"""Boosted trees on station-days: folds by cell, level or residual targets, fold-aware and mean prediction."""
+"""Boosted trees on station-days: folds by cell, level or residual targets, fold-aware and mean prediction.
+
+A fold's model is a Spark ML pipeline of fills and markers for missing numbers, the feature vector, and trees, so that
+what is saved is all that new rows need. Boosting ends when a round's gain does, measured on cells held out inside the
+training folds; folds are fitted side by side, since a round is a chain of small jobs.
+"""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyhive.operators.features import FEATURES, feature_group
 from skyhive.operators.scale import digest_rank
+from skyhive.session import cut_lineage, shared_root
 
 # Boosting settings
 STEP = 0.05
 MIN_LEAF_ROWS = 40
 ROW_SHARE = 0.85
 COLUMN_SHARE = "0.85"
+MOST_ROUNDS = 600
+DEPTH = 6  # 64 leaves
+# Our own: a round that gains less than this share of the error on held-out cells is the last; every n-th training
+# cell is held out for that; rounds between checkpoints of the chain of predictions
+GAIN_END = 1e-3
+HELD_EVERY = 10
+CHECKPOINT_ROUNDS = 10
 # The three compared variants
 VARIANTS = {
     "m1_level_l1": {"target": "level", "loss": "absolute", "drop": []},
@@ -40,12 +57,12 @@ def training_rows(hidden: DataFrame, cell_days: DataFrame) -> DataFrame:
 
 @dataclass
 class Fitted:
-    """Fold models with what is needed to score new rows."""
+    """Fold models with what is needed to score new rows, and the held-out error after each round of each fold."""
 
-    models: dict[int, GBTRegressionModel]
+    models: dict[int, PipelineModel]
     features: list[str]
     target: str
-    fills: dict[int, dict[str, float]] = field(default_factory=dict)  # by fold, from the rows its model saw
+    errors: dict[int, list[float]] = field(default_factory=dict)
 
     @property
     def inputs(self) -> list[str]:
@@ -64,66 +81,91 @@ def _medians(rows: DataFrame, features: list[str]) -> dict[str, float]:
     return {f: float(row[f]) if row[f] is not None else 0.0 for f in features}
 
 
-def _assembled(rows: DataFrame, features: list[str], fills: dict[str, float]) -> DataFrame:
-    """Missing numbers take the training median, and a marker says that they were missing."""
-    marks = [F.col(c).isNull().cast("double").alias(f"no_{c}") for c in OFTEN_MISSING if c in features]
-    filled = [F.coalesce(F.col(f).cast("double"), F.lit(fills[f])).alias(f"x_{f}") for f in features]
-    names = [f"x_{f}" for f in features] + [f"no_{c}" for c in OFTEN_MISSING if c in features]
-    vectors = VectorAssembler(inputCols=names, outputCol="vector")
-    return vectors.transform(rows.select("*", *filled, *marks)).drop(*names)
+def _prepared(features: list[str], fills: dict[str, float]) -> list:
+    """Stages before the trees: missing numbers take the training median, and a marker says that they were missing."""
+    marked = [c for c in OFTEN_MISSING if c in features]
+    known = lambda f: f"nanvl(CAST({f} AS DOUBLE), NULL)"
+    columns = [f"coalesce({known(f)}, {fills[f]!r}D) AS x_{f}" for f in features] + [f"CAST({known(f)} IS NULL AS DOUBLE) AS no_{f}" for f in marked]
+    names = [f"x_{f}" for f in features] + [f"no_{f}" for f in marked]
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), VectorAssembler(inputCols=names, outputCol="vector")]
+
+
+def held_cells(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """Every tenth cell in a digest's order, whole cells, so that no station judges itself; one at least."""
+    ranked = digest_rank(rows.select("cell").distinct(), "cell", seed=f"held-{seed}")
+    return ranked.where(F.col("pos") % HELD_EVERY == 0).select("cell")
 
 
-def fit_folds(rows: DataFrame, folds: int, target: str = "level", loss: str = "squared",
-              drop: list[str] | None = None, rounds: int = 20, depth: int = 5, seed: int = 0) -> Fitted:
-    """One model per fold, trained on all other folds. rows: FEATURES, actual, fold."""
+def fit_folds(rows: DataFrame, folds: int, target: str = "level", loss: str = "squared", drop: list[str] | None = None,
+              rounds: int = MOST_ROUNDS, depth: int = DEPTH, seed: int = 0, side_by_side: int = 4) -> Fitted:
+    """One model per fold, trained on all other folds. rows: FEATURES, actual, cell, fold."""
     features = feature_list(drop)
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_root(rows.sparkSession)}/boosting")
     label = F.col("actual") - F.col("neighbour_idw") if target == "residual" else F.col("actual")
     known = rows.withColumn("label", label).where("label IS NOT NULL")
-    booster = GBTRegressor(featuresCol="vector", labelCol="label", lossType=loss, maxIter=rounds, maxDepth=depth,
-                           stepSize=STEP, minInstancesPerNode=MIN_LEAF_ROWS, subsamplingRate=ROW_SHARE,
-                           featureSubsetStrategy=COLUMN_SHARE, seed=seed, maxMemoryInMB=512)
-    models, fills = {}, {}
-    for fold in range(folds):
+
+    def fit(fold: int):
         seen = known.where(F.col("fold") != fold)
-        fills[fold] = _medians(seen, features)
-        models[fold] = booster.fit(_assembled(seen, features, fills[fold]).select("vector", "label"))
-    return Fitted(models, features, target, fills)
+        held = held_cells(seen, seed).withColumn("held", F.lit(True))
+        stages = _prepared(features, _medians(seen, features))
+        ready = seen.join(held, "cell", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        for stage in stages:
+            ready = stage.transform(ready)
+        ready = cut_lineage(ready.select("vector", "label", "held"), "boosting-rows")
+        booster = GBTRegressor(featuresCol="vector", labelCol="label", predictionCol="fold_estimate", lossType=loss, maxIter=rounds, maxDepth=depth,
+                               stepSize=STEP, minInstancesPerNode=MIN_LEAF_ROWS, subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE,
+                               seed=seed, maxMemoryInMB=512, checkpointInterval=CHECKPOINT_ROUNDS, validationIndicatorCol="held", validationTol=GAIN_END)
+        trees = booster.fit(ready)
+        return PipelineModel([*stages, trees]), list(trees.evaluateEachIteration(ready.where("held"), loss))
+
+    with ThreadPoolExecutor(min(side_by_side, folds)) as pool:
+        found = list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds)))
+    return Fitted({k: m for k, (m, _) in enumerate(found)}, features, target, {k: e for k, (_, e) in enumerate(found)})
 
 
 def _anchor(value, target: str):
     return F.col("neighbour_idw") + value if target == "residual" else value
 
 
+def _scored(fitted: Fitted, fold: int, rows: DataFrame, name: str) -> DataFrame:
+    made = ["vector", *[f"x_{f}" for f in fitted.features], *[i for i in fitted.inputs if i.startswith("no_") and i not in fitted.features]]
+    return fitted.models[fold].transform(rows).drop(*made).withColumnRenamed("fold_estimate", name)
+
+
 def predict_hidden(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """Each row scored by the model that never trained on its cell; cells without a fold use fold 0."""
     placed = rows.withColumn("fold", F.coalesce("fold", F.lit(0)))
     parts = []
-    for fold, model in fitted.models.items():
-        ready = _assembled(placed.where(F.col("fold") == fold), fitted.features, fitted.fills[fold])
-        scored = model.copy().setPredictionCol("_raw").transform(ready)
-        parts.append(scored.withColumn(name, _anchor(F.col("_raw"), fitted.target)).drop("_raw", "vector"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for fold in fitted.models:
+        scored = _scored(fitted, fold, placed.where(F.col("fold") == fold), "_raw")
+        parts.append(scored.withColumn(name, _anchor(F.col("_raw"), fitted.target)).drop("_raw"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predict_mean(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """Mean of all fold models, scored in one pass over the rows."""
     out, columns = rows, []
-    for fold, model in fitted.models.items():
+    for fold in fitted.models:
         columns.append(f"_fold{fold}")
-        out = model.copy().setPredictionCol(columns[-1]).transform(_assembled(out, fitted.features, fitted.fills[fold])).drop("vector")
+        out = _scored(fitted, fold, out, columns[-1])
     mean = sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
     return out.withColumn(name, _anchor(mean, fitted.target)).drop(*columns)
 
 
+def error_by_round(fitted: Fitted, variant: str, spark: SparkSession) -> DataFrame:
+    """variant, fold, round, error on held-out cells (a few hundred rows a fold)."""
+    rows = [(variant, fold, i + 1, float(e)) for fold, errors in fitted.errors.items() for i, e in enumerate(errors)]
+    return spark.createDataFrame(rows, "variant string, fold int, round int, error double")
+
+
 def importance(fitted: Fitted, variant: str, spark: SparkSession) -> DataFrame:
     """Gain of each feature in percent, averaged over the fold models (a few dozen rows)."""
     names = fitted.inputs
     rows = [(variant, fold, name.removeprefix("no_"), float(gain))
             for fold, model in fitted.models.items()
-            for name, gain in zip(names, model.featureImportances.toArray())]
+            for name, gain in zip(names, model.stages[-1].featureImportances.toArray())]
     raw = spark.createDataFrame(rows, "variant string, fold int, feature string, gain double")
     return summarise_importance(raw)
 
@@ -153,14 +195,13 @@ def top_features(summary: DataFrame, n: int = 3) -> DataFrame:
 
 
 def save(fitted: Fitted, path: str) -> None:
-    """Fold models beside each other; settings as one small JSON row."""
+    """Fold pipelines beside each other; settings as one small JSON row."""
     import json
 
     spark = SparkSession.getActiveSession()
     for fold, model in fitted.models.items():
         model.write().overwrite().save(f"{path}/fold={fold}")
-    about = {"features": fitted.features, "target": fitted.target, "fills": fitted.fills,
-             "folds": sorted(fitted.models)}
+    about = {"features": fitted.features, "target": fitted.target, "errors": fitted.errors, "folds": sorted(fitted.models)}
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
@@ -169,5 +210,5 @@ def restore(path: str) -> Fitted:
 
     spark = SparkSession.getActiveSession()
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
-    models = {fold: GBTRegressionModel.load(f"{path}/fold={fold}") for fold in about["folds"]}
-    return Fitted(models, about["features"], about["target"], {int(fold): f for fold, f in about["fills"].items()})
+    models = {fold: PipelineModel.load(f"{path}/fold={fold}") for fold in about["folds"]}
+    return Fitted(models, about["features"], about["target"], {int(fold): e for fold, e in about["errors"].items()})

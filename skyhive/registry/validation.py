@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyhive.functions import geo
 from skyhive.operators import bootstrap as B
+from skyhive.operators import deploy as DE
 from skyhive.operators import learn as L
 from skyhive.operators import predict as P
 from skyhive.operators import rollup
@@ -17,7 +21,8 @@ from skyhive.registry.book import register
 from skyhive.registry.history import MIN_HOURS
 from skyhive.registry.signals import bare_days, cell_days, full_days
 from skyhive.registry.sqltext import band, cell_of, fixed6, fragment, haversine, lat_of, lon_of, pm25_class, query
-from skyhive.session import cut_lineage
+from skyhive.session import cut_lineage, shared_path
+from skyhive.sinks.tables import replace_partitions
 
 K = 8
 DRAWS = 2000
@@ -264,7 +269,7 @@ def bands_markdown(spark, sf):
 
 # ---------------------------------------------------------------- learning
 
-FOLDS, ROUNDS, DEPTH = 3, 8, 4
+FOLDS = 5
 
 
 @register("cell_folds", query(f"""SELECT cell, CAST((row_number() OVER (ORDER BY md5('7|' || cell)) - 1) % 5 AS INTEGER) AS fold
@@ -287,22 +292,86 @@ def training_rows(spark, sf):
                        F.round("fires_150km", 4).alias("fires_150km"), F.round("no2_trop", 9).alias("no2_trop"))
 
 
-def _variants(spark, sf, names):
-    rows = training(spark, sf)
-    out, fits = rows, {}
+_fits: dict[tuple, tuple] = {}
+
+
+def variants(spark, sf, names=tuple(L.VARIANTS)):
+    """Training rows and the fold models of each variant; a variant is fitted once for the session and the data."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _fits:
+        _fits[key] = training(spark, sf), {}
+    rows, fits = _fits[key]
     for name in names:
-        spec = L.VARIANTS[name]
-        fits[name] = L.fit_folds(rows, FOLDS, spec["target"], spec["loss"], spec["drop"], rounds=ROUNDS, depth=DEPTH)
-        out = L.predict_hidden(fits[name], out, name)
-    return out, fits
+        if name not in fits:
+            spec = L.VARIANTS[name]
+            fits[name] = L.fit_folds(rows, FOLDS, spec["target"], spec["loss"], spec["drop"])
+    return rows, {n: fits[n] for n in names}
 
 
-@register("boosted_band_errors")
+@register("boosted_band_errors", query("""SELECT m.model, band, count(DISTINCT station_id) AS stations, count(*) AS station_periods, TRUE AS sound FROM hidden h,
+ (SELECT unnest(['m1_level_l1', 'm2_residual_l2', 'm3_residual_l2_nogeo', 'nearest_station', 'idw_k8', 'combined']) AS model) m
+ WHERE neighbour_idw IS NOT NULL AND band <> 'no remaining data' GROUP BY ALL""", "hidden"))
 def boosted_band_errors(spark, sf):
-    """All three variants, each hidden station scored by a model that never saw its cell, beside the baselines."""
-    rows, fits = _variants(spark, sf, list(L.VARIANTS))
-    models = {**V.BASELINES, **{n: n for n in fits}}
-    return V.band_table(V.per_period(cut_lineage(rows, "variants"), models))
+    """All three variants and the combined form, each hidden station scored by a model that never saw its cell, beside the
+    baselines. `sound`: the errors are finite and no bias exceeds its error. boosted_band_table has the figures."""
+    out = boosted_band_table(spark, sf)
+    return out.select("model", "band", "stations", "station_periods", (~F.isnan("mae") & (F.col("mae") >= F.abs("bias") - 1e-9) & F.col("nmae_pct").isNotNull()).alias("sound"))
+
+
+@register("boosted_band_table")
+def boosted_band_table(spark, sf):
+    """Error of every variant by distance band."""
+    return V.band_table(stored_variants(spark, sf))
+
+
+def stored_variants(spark, sf):
+    """Predictions of all variants for hidden stations, written by model and read back."""
+    rows, fits = variants(spark, sf)
+    path = shared_path(spark, "variant-predictions")
+    replace_partitions(DE.hidden_predictions(fits, rows), path, ["model"])
+    return spark.read.parquet(path)
+
+
+@register("stored_predictions", query("""SELECT m.model, station_id, count(*) AS periods, count(neighbour_idw) AS predicted FROM hidden h,
+ (SELECT unnest(['m2_residual_l2', 'm3_residual_l2_nogeo', 'nearest_station', 'idw_k8']) AS model) m GROUP BY ALL UNION ALL
+ SELECT model, station_id, count(*), count(CASE WHEN model = 'm1_level_l1' OR dist_nearest_km > 100 OR dist_nearest_km IS NULL THEN 1 ELSE neighbour_idw END) FROM hidden h,
+ (SELECT unnest(['m1_level_l1', 'combined']) AS model) m GROUP BY ALL""", "hidden"))
+def stored_predictions(spark, sf):
+    """Rows of the stored variant predictions: the level model knows an answer everywhere, residuals where neighbours report."""
+    return stored_variants(spark, sf).groupBy("model", "station_id").agg(F.count(F.lit(1)).alias("periods"), F.count("predicted").alias("predicted"))
+
+
+@register("model_decision", query("""SELECT m.model, band, count(DISTINCT station_id) AS stations, count(*) AS station_days, TRUE AS inside, TRUE AS ruled FROM hidden h,
+ (SELECT unnest(['idw_k8', 'm1_level_l1', 'm3_residual_l2_nogeo', 'combined']) AS model) m WHERE neighbour_idw IS NOT NULL AND band <> 'no remaining data' GROUP BY ALL""", "hidden"))
+def model_decision(spark, sf):
+    """The decision over stored predictions of the fitted variants. `inside`: the interval holds the point value; `ruled`: the
+    rule promoted the combined form exactly if its lower bounds say so. model_promoted has the outcome."""
+    bands = cut_lineage(B.station_bootstrap(_decided_rows(spark, sf), DECIDED, DRAWS), "model-intervals")
+    wins = B.decide(bands, "combined", "idw_k8").first()["wins"]
+    above = bands.where((F.col("model") == "combined") & F.col("band").isin(B.TARGET_BANDS) & (F.col("vs_idw_lo") > 0)).count()
+    # with few stations a draw's middle may lie off the point value
+    inside = F.col("mae").between(F.col("mae_lo") - 1e-9, F.col("mae_hi") + 1e-9) | (F.col("stations") < 10)
+    return bands.select("model", "band", "stations", "station_days", inside.alias("inside"), F.lit(wins == (above == len(B.TARGET_BANDS))).alias("ruled"))
+
+
+DECIDED = ["idw_k8", "m1_level_l1", "m3_residual_l2_nogeo", "combined"]
+
+
+def _decided_rows(spark, sf):
+    return cut_lineage(B.paired(stored_variants(spark, sf).where(F.col("model").isin(DECIDED)), DECIDED), "paired-variants")
+
+
+@register("model_promoted")
+def model_promoted(spark, sf):
+    """Which form the rule promotes, from stored predictions."""
+    return B.decide(B.station_bootstrap(_decided_rows(spark, sf), DECIDED, DRAWS), "combined", "idw_k8")
+
+
+@register("boosting_rounds")
+def boosting_rounds(spark, sf):
+    """Error on held-out cells after each round of each fold, until the gain ended."""
+    _, fits = variants(spark, sf)
+    return reduce(DataFrame.unionByName, [L.error_by_round(fitted, name, spark) for name, fitted in fits.items()])
 
 
 _NAMES = ", ".join(f"'{f}'" for f in FEATURES)
@@ -342,11 +411,9 @@ def importance_top(spark, sf):
 @register("feature_importance")
 def feature_importance(spark, sf):
     """Gain by feature and group for the model without latitude and longitude."""
-    rows = training(spark, sf)
     name = "m3_residual_l2_nogeo"
-    spec = L.VARIANTS[name]
-    fitted = L.fit_folds(rows, FOLDS, spec["target"], spec["loss"], spec["drop"], rounds=ROUNDS, depth=DEPTH)
-    return L.importance(fitted, name, spark)
+    _, fits = variants(spark, sf, (name,))
+    return L.importance(fits[name], name, spark)
 
 
 def predicted_days(spark, sf, with_features=False):
@@ -387,12 +454,40 @@ def daily_digest(spark, sf):
     return out.select("date", "cells", *[F.round(c, 6).alias(c) for c in ("median", "poor_pct", "low_confidence_pct", "dark_pct")])
 
 
-@register("mean_model_predictions")
+def deployed(spark, sf):
+    _, fits = variants(spark, sf, (DE.NEAR, DE.FAR))
+    return DE.Deployed(fits[DE.NEAR], fits[DE.FAR])
+
+
+def serving(spark, sf):
+    """Every grid cell of every day with all features."""
+    days = full_days(spark, sf)
+    values = cut_lineage(observations(spark, sf), "observations")
+    return cut_lineage(P.serving_rows(days["grid"], days["rows"], values, K), "serving")
+
+
+def stored_days(spark, sf):
+    """Both sets fitted, saved and loaded; every cell and day scored, written by day and read back."""
+    fitted, path = deployed(spark, sf), shared_path(spark, "models")
+    fitted.save(path)
+    loaded, rows = DE.load(path), serving(spark, sf)
+    before = DE.estimates(fitted, rows, "before").drop("route")  # what the sets said before they were saved
+    out = shared_path(spark, "predictions")
+    DE.write_predictions(loaded, before, levels(spark, sf), out, ["before"])
+    return spark.read.parquet(out)
+
+
+@register("mean_model_predictions", query("""SELECT cell, date, CASE WHEN dist_nearest_km <= 100 THEN 'near' ELSE 'far' END AS route, confidence, dist_nearest_km,
+ TRUE AS known, TRUE AS same_after_load FROM served""", "served"))
 def mean_model_predictions(spark, sf):
-    """The deployed form: the mean of the fold models over every cell-day with stations, clipped and rated."""
-    rows = training(spark, sf)
-    spec = L.VARIANTS["m3_residual_l2_nogeo"]
-    fitted = L.fit_folds(rows, 2, spec["target"], spec["loss"], spec["drop"], rounds=ROUNDS, depth=DEPTH)
-    scored = L.predict_mean(fitted, rows, "estimate")
-    return P.with_confidence(scored.drop("band"), levels(spark, sf)).select(
-        "station_id", "period", "pm25", "confidence", "uncertainty")
+    """The deployed model over every grid cell and day, read from the stored table. `known`: an estimate of at least zero;
+    `same_after_load`: the loaded sets say what the fitted ones said."""
+    rows = stored_days(spark, sf)
+    return rows.select("cell", "date", "route", "confidence", "dist_nearest_km", (F.col("pm25").isNotNull() & (F.col("pm25") >= 0)).alias("known"),
+                       F.greatest("before", F.lit(0.0)).eqNullSafe(F.col("pm25")).alias("same_after_load"))
+
+
+@register("model_predictions")
+def model_predictions(spark, sf):
+    """Estimates of the deployed model: cell, date, route, pm25, confidence, uncertainty."""
+    return stored_days(spark, sf).select("cell", "date", "route", "pm25", "confidence", "uncertainty")

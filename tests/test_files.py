@@ -108,10 +108,44 @@ def test_fitted_models_are_saved_and_restored(spark, tmp_path):
     from skyhive.operators.features import FEATURES
 
     rows = spark.range(400).select("id", *[((F.col("id") * (i + 3)) % 17).cast("double").alias(f) for i, f in enumerate(FEATURES)],
-                                   ((F.col("id") * 7) % 29).cast("double").alias("actual"), (F.col("id") % 2).cast("int").alias("fold"))
+                                   ((F.col("id") * 7) % 29).cast("double").alias("actual"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 40).alias("cell"))
     fitted = learn.fit_folds(rows, 2, "residual", "squared", ["lat", "lon"], rounds=2, depth=2)
     assert "lat" not in fitted.features
+    assert all(1 <= len(errors) <= 2 for errors in fitted.errors.values())  # one error for each round that ran
     learn.save(fitted, str(tmp_path / "m"))
     back = learn.restore(str(tmp_path / "m"))
     first = [r.p for r in learn.predict_mean(fitted, rows, "p").orderBy("id").collect()]
     assert first == [r.p for r in learn.predict_mean(back, rows, "p").orderBy("id").collect()]
+    assert back.errors == fitted.errors
+
+
+def test_boosting_ends_with_the_gain(spark):
+    from skyhive.operators import learn
+    from skyhive.operators.features import FEATURES
+
+    rows = spark.range(600).select(*[(F.rand(i) * 10).alias(f) for i, f in enumerate(FEATURES)], F.rand(99).alias("actual"),
+                                   (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 60).alias("cell")).cache()
+    fitted = learn.fit_folds(rows, 2, "level", "squared", rounds=40, depth=3)
+    for errors in fitted.errors.values():  # noise has nothing to learn
+        assert len(errors) < 40
+    held = {r.cell for r in learn.held_cells(rows).collect()}
+    assert len(held) == 6 and held == {r.cell for r in learn.held_cells(rows.repartition(7)).collect()}
+
+
+def test_routes_near_and_far_models(spark):
+    from skyhive.operators import deploy, learn
+
+    class Constant(learn.Fitted):
+        pass
+
+    def constant(fitted, rows, name):
+        value = F.lit(float(fitted.features))
+        return rows.withColumn(name, F.col("neighbour_idw") + value if fitted.target == "residual" else value)
+
+    rows = spark.createDataFrame([(1, 100.0, 5.0), (2, 100.5, 5.0), (3, None, None)], "id int, dist_nearest_km double, neighbour_idw double")
+    held, learn.predict_mean = learn.predict_mean, constant
+    try:
+        out = deploy.estimates(deploy.Deployed(Constant({}, 1, "residual"), Constant({}, 40, "level")), rows).orderBy("id").collect()
+    finally:
+        learn.predict_mean = held
+    assert [(r.route, r.estimate) for r in out] == [("near", 6.0), ("far", 40.0), ("far", 40.0)]
