@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("history", "space", "signals", "validation", "documents")
+FAMILIES = ("history", "space", "signals", "validation", "documents", "filed")
 
 
 def _load() -> None:

@@ -18,12 +18,26 @@ def test_records_with_a_broken_file(spark, tmp_path):
         f.write(head + '5,50,"A, B",2024-01-01T00:00:00+05:30,20.5,75.5,pm25,µg/m³,12.5\n')
     (folder / "location-5-20240102.csv.gz").write_bytes(b"not a gzip file")
     rows = files.read_records(spark, str(tmp_path), [(2024, 1)])
-    got = clean.normalise(rows.drop("locationid", "year", "month", "source_file")).collect()
+    got = clean.normalise(rows.drop("locationid", "year", "month", "source_file", "line")).collect()
     assert len(got) == 1 and got[0].value == 12.5 and got[0].unit == "ug/m3" and got[0].location == "A, B"
     bad = files.unreadable_files(spark, str(tmp_path), rows).collect()
     assert len(bad) == 1 and bad[0].source_file.endswith("20240102.csv.gz")
 
 
+def test_records_by_their_own_header_and_line_order(spark, tmp_path):
+    folder = tmp_path / "locationid=5" / "year=2024" / "month=01"
+    folder.mkdir(parents=True)
+    names = "sensors_id,location_id,value,units,parameter,lon,lat,datetime,location,extra"
+    line = '50,5,{},µg/m³,pm25,75.5,20.5,2024-01-01T00:00:00+05:30,"A ""x"", B",z'
+    (folder / "location-5-20240101.csv").write_text("\ufeff" + names + "\r\n" + line.format("9.0") + "\r\n\r\n" + line.format("12.5") + "\r\n")
+    (folder / "location-5-20240102.csv").write_text(names + "\n")  # a header only
+    rows = files.read_records(spark, str(tmp_path), [(2024, 1)])
+    got = clean.clean(rows.drop("locationid", "year", "month"), order=["source_file", "line"]).collect()
+    assert [(r.location_id, r.sensors_id, r.value, r.lat, r.location) for r in got] == [(5, 50, 12.5, 20.5, 'A "x", B')]
+    assert sorted(r.line for r in rows.collect()) == [1, 3]
+    assert files.unreadable_files(spark, str(tmp_path), rows).count() == 0
+
+
 def test_latest_complete_snapshot(spark, tmp_path):
     for name, complete in (("20240101T0000Z", True), ("20240102T0000Z", True), ("20240103T0000Z", False)):
         folder = tmp_path / name
