@@ -81,7 +81,7 @@ class Fit:
         rows = self.blocks.mapInArrow(task, "part binary")
         if self.blocks.rdd.getNumPartitions() > 256:  # sums of sums, so that the driver gets 64 arrays at most
             rows = rows.coalesce(64).mapInArrow(_added, "part binary")
-        return sum((np.frombuffer(bytes(r["part"])) for r in rows.toLocalIterator()), np.zeros(size))
+        return sum((np.frombuffer(bytes(r["part"])) for r in rows.collect()), np.zeros(size))  # 256 arrays at most
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """VQ."""
@@ -142,7 +142,7 @@ def whiten(vectors: DataFrame, wanted: int = 16, scale: int = 64, offset: int =
     distinct = rows.select("x").distinct()
     blocks = stored(distinct.mapInArrow(_packed, "rows long, data binary"), "fit", "none")
     n, sums = 0, np.zeros(width, object)
-    for r in blocks.mapInArrow(_sums(width), "rows long, sums array<long>").toLocalIterator():
+    for r in blocks.mapInArrow(_sums(width), "rows long, sums array<long>").toLocalIterator():  # a row of `width` numbers a task
         n, sums = n + r["rows"], sums + np.array(r["sums"], object)
     fit = Fit(blocks, width, n, sums.astype(np.int64))
     trace = float(fit.summed(lambda c: np.einsum("ij,ij->j", c, c), width).sum()) / n
@@ -162,10 +162,12 @@ def whiten(vectors: DataFrame, wanted: int = 16, scale: int = 64, offset: int =
 
 def _sums(width: int):
     def run(batches):
+        rows, sums = 0, np.zeros(width, np.int64)
         for batch in batches:
             for data in batch.column("data"):
                 block = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([pa.array([len(block)], pa.int64()), pa.array([block.sum(0).tolist()], pa.list_(pa.int64()))], names=["rows", "sums"])
+                rows, sums = rows + len(block), sums + block.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["rows", "sums"])
 
     return run
 
