@@ -18,8 +18,9 @@ def _seconds(ts) -> Column:
 
 
 def with_runs(df: DataFrame, keys: list[str], ts: str, value: str, tie: list[str],
-              gap_seconds: int = MAX_GAP_SECONDS, piece: str = "day") -> DataFrame:
-    """Adds run_start and run_end, the first and last time of the run each row belongs to.
+              gap_seconds: int = MAX_GAP_SECONDS, piece: str = "day", run: str | None = None) -> DataFrame:
+    """Adds run_start and run_end, the first and last time of the run each row belongs to, and under the name
+    `run` a value that numbers the runs of a series in their order.
 
     A series is cut into calendar pieces so that one busy sensor is spread over many tasks. Runs are found
     inside each piece; only the first and last run of a piece can go on in a neighbour, so the step that
@@ -55,17 +56,29 @@ def with_runs(df: DataFrame, keys: list[str], ts: str, value: str, tie: list[str
              .withColumn("_island", F.sum("_new").over(chain)))
     island = Window.partitionBy(*keys, "_island")
     nodes = nodes.withColumn("_fs", F.min("_n.s").over(island)).withColumn("_fe", F.max("_n.e").over(island))
+    found = ["_fs", "_fe"]
+    if run:
+        nodes = nodes.withColumn("_id", F.first(F.struct("_piece", F.col("_n.pos").alias("no"))).over(
+            island.orderBy("_piece", "_n.pos")))
+        found.append("_id")
     joined = nodes.groupBy(*slot).agg(*[
         F.max(F.when(F.col("_n.pos") == pos, F.col(src))).alias(f"{src}{pos}")
-        for pos in (1, 2) for src in ("_fs", "_fe")])
+        for pos in (1, 2) for src in found])
 
     out = rows.join(joined, slot, "left")
     start = F.when(F.col("_run") == 1, F.col("_fs1")).when(
         F.col("_run") == F.col("_runs"), F.col("_fs2")).otherwise(F.col("_s"))
     end = F.when(F.col("_run") == 1, F.col("_fe1")).when(
         F.col("_run") == F.col("_runs"), F.col("_fe2")).otherwise(F.col("_e"))
+    more = []
+    if run:  # by piece, then first run, inner runs by number, last run
+        inner = lambda pos, no: F.struct("_piece", F.lit(pos).alias("pos"), no.alias("no"))
+        node_id = lambda c: F.struct(F.col(f"{c}._piece"), F.when(F.col(f"{c}.no") == 1, 0).otherwise(2).alias("pos"),
+                                     F.lit(0).alias("no"))
+        more.append(F.when(F.col("_run") == 1, node_id("_id1")).when(F.col("_run") == F.col("_runs"), node_id("_id2"))
+                    .otherwise(inner(1, F.col("_run").cast("int"))).alias(run))
     return out.select(*df.columns, F.timestamp_micros(start).alias("run_start"),
-                      F.timestamp_micros(end).alias("run_end"))
+                      F.timestamp_micros(end).alias("run_end"), *more)
 
 
 def quality_flag(span_seconds: int = STUCK_SPAN_SECONDS) -> Column:

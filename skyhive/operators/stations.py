@@ -51,10 +51,12 @@ def _last(value: str, order: list) -> Column:
 
 
 def station_table(readings: DataFrame, tie: list[str]) -> DataFrame:
-    """One row per station. The position is the median of monthly medians; names are the last ones known.
+    """One row per station. The position is the median of monthly medians; names are the last ones known."""
+    return merged_stations(station_months(readings, tie))
 
-    Equal positions are counted before the median, so a busy station is a handful of rows.
-    """
+
+def station_months(readings: DataFrame, tie: list[str]) -> DataFrame:
+    """What a month says of a station. Equal positions are counted before the median, so a busy station is a handful of rows."""
     month = F.date_format("timestamp_utc", "yyyy-MM").alias("month")
     rows = readings.select("*", month)
     middle = []
@@ -71,6 +73,10 @@ def station_table(readings: DataFrame, tie: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"))
     for part in middle:
         monthly = monthly.join(part, ["station_id", "month"], "left")
+    return monthly
+
+
+def merged_stations(monthly: DataFrame) -> DataFrame:
     return monthly.groupBy("station_id").agg(
         _last("station_name", ["month"]).alias("station_name"),
         F.expr("percentile(lat, 0.5D)").alias("lat"), F.expr("percentile(lon, 0.5D)").alias("lon"),
@@ -94,20 +100,28 @@ def channel_health(flagged: DataFrame) -> DataFrame:
         F.sum("ok").alias("ok"), F.sum("placeholder").alias("placeholder"), F.sum("runs").alias("runs"),
         F.sum((F.col("ok") > 0).cast("bigint")).alias("ok_hours"),
         F.max(F.when(F.col("ok") > 0, F.col("hour"))).alias("last_usable_utc"))
+    return preferred_channel(channels).withColumn("usable_coverage", F.col("ok_hours") / window).withColumn("corpus_end", corpus_end)
+
+
+def preferred_channel(channels: DataFrame) -> DataFrame:
+    """The PM2.5 channel of a station, or its PM10 channel if it has no other, with the flagged share."""
     rank = F.when(F.col("parameter") == "pm25", 0).otherwise(1)
     row = F.struct("parameter", "ok", "placeholder", "runs", "ok_hours", "last_usable_utc")
     best = channels.groupBy("station_id").agg(F.min_by(row, rank).alias("c"))
     return (best.select("station_id", "c.*")
             .withColumn("flagged_share", (F.col("placeholder") + F.col("runs"))
-                        / (F.col("ok") + F.col("placeholder") + F.col("runs")))
-            .withColumn("usable_coverage", F.col("ok_hours") / window)
-            .withColumn("corpus_end", corpus_end))
+                        / (F.col("ok") + F.col("placeholder") + F.col("runs"))))
 
 
 def station_health(stations: DataFrame, flagged: DataFrame, silent_days: int = DEAD_SILENT_DAYS,
                    stuck_share: float = STUCK_SHARE) -> DataFrame:
     """stuck, dead, intermittent or healthy with the reason in words; stations with no PM channel are dead."""
-    known = stations.join(channel_health(flagged), "station_id", "left")
+    return judged_stations(stations, channel_health(flagged), silent_days, stuck_share)
+
+
+def judged_stations(stations: DataFrame, channels: DataFrame, silent_days: int = DEAD_SILENT_DAYS,
+                    stuck_share: float = STUCK_SHARE) -> DataFrame:
+    known = stations.join(channels, "station_id", "left")
     has, cover = F.col("parameter").isNotNull(), F.coalesce("usable_coverage", F.lit(0.0))
     silent = F.floor((F.unix_micros("corpus_end") - F.unix_micros("last_usable_utc")) / F.lit(86_400_000_000))
     is_stuck = has & (F.col("flagged_share") >= stuck_share)

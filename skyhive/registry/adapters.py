@@ -119,6 +119,10 @@ SHAPES["raw_again"] = ("events", [
     e if not e.endswith(" AS line") else "event_id + 1000000000 AS line" for e in [
         x if not x.endswith("END AS value") else "CAST(value + 1 AS STRING) AS value"
         for x in SHAPES["raw_once"][1]]])
+# the same monitors by number, their times moved so that they span two months
+SHAPES["sent"] = ("events", ["CASE WHEN user_id % 2 = 0 THEN user_id % 4 ELSE 100 + user_id % 40 END AS location_id",
+                             *[c for c in SHAPES["monitors"][1] if not c.endswith((" AS station_id", " AS timestamp_utc"))],
+                             "ts + INTERVAL 15 DAY AS timestamp_utc"])
 RESENT = "event_id % 40 = 7"
 
 RASTER = Header(69.0, 33.0, 0.4, 60, 60)

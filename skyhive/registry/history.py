@@ -187,12 +187,15 @@ def monitors_with_health(spark, sf):
     return stations.station_health(stations.station_table(rows, ["line"]), flagged, silent_days=SILENT_DAYS)
 
 
-@register("station_health", query("""SELECT station_id, health, CASE WHEN pm_channel IS NULL THEN 'no PM2.5 or PM10 readings'
+REASON = """CASE WHEN pm_channel IS NULL THEN 'no PM2.5 or PM10 readings'
  WHEN health = 'stuck' THEN CAST(round_even(100 * flagged, 0) AS BIGINT) || '% of ' || pm_channel || ' readings flagged ('
  || format('{:,}', placeholder) || ' placeholder, ' || format('{:,}', runs) || ' in day-long flat runs)'
  WHEN health = 'dead' THEN 'usable ' || pm_channel || ' coverage ' || CAST(round_even(100 * cover, 0) AS BIGINT) || '%, '
  || CASE WHEN last_usable_utc IS NULL THEN 'no usable reading' ELSE 'last usable reading ' || strftime(last_usable_utc, '%Y-%m-%d') END
- ELSE 'usable ' || pm_channel || ' coverage ' || CAST(round_even(100 * cover, 0) AS BIGINT) || '%' END AS health_reason, pm_channel,
+ ELSE 'usable ' || pm_channel || ' coverage ' || CAST(round_even(100 * cover, 0) AS BIGINT) || '%' END AS health_reason"""
+
+
+@register("station_health", query(f"""SELECT station_id, health, {REASON}, pm_channel,
  round_even(coalesce(cover, 0), 3) AS usable_coverage, round_even(flagged, 3) AS flagged_share, last_usable_utc
  FROM monitor_health""", "monitor_health"))
 def station_health(spark, sf):
