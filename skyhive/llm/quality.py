@@ -148,7 +148,7 @@ def _feature_rows(lexicon: dict[str, float]):
             x, text, word, names = features(batch.column("text").fill_null(""))
             x = np.column_stack([x, toxic_scores(text, word, names, lexicon, len(x))])
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("low"), batch.column("toxic"), batch.column("fold"), rows], names=["low", "toxic", "fold", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("low"), batch.column("toxic"), batch.column("fold"), rows], names=["group", "low", "toxic", "fold", "x"])
 
     return run
 
@@ -160,13 +160,15 @@ def least_shingle(texts: pa.Array) -> pa.Array:
 
 
 def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Evidence, float, float]:
-    """The evidence function and the global rates of low quality and of toxicity."""
+    """The evidence function and the global rates of low quality and of toxicity. Of near copies the one with the smallest
+    doc_id (then text) teaches, and rows are fitted in one order, so the model follows the rows and not their layout."""
     known = (labels.where("doc_id is not null and quality is not null and toxic is not null")
              .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))  # bounded, so its ids may be sent to all tasks
     sample = stored(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(
-        F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") < 1).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .withColumn("group", F.arrow_udf(least_shingle, "long")("text")).dropDuplicates(["group"]).withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(3)).cast("int")), "labelled")
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("quality") < 1).cast("int").alias("low"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+        .withColumn("group", F.arrow_udf(least_shingle, "long")("text")).groupBy("group").agg(F.min(F.struct("doc_id", "text", "low", "toxic")).alias("r"))
+        .select("group", "r.text", "r.low", "r.toxic").withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(3)).cast("int")), "labelled")
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("low"), F.lit(0)).alias("low"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, low, toxic = size["n"], size["low"], size["toxic"]
     rate = lambda k: (k + 1) / (n + 10)
@@ -179,7 +181,8 @@ def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tup
         chosen = counts.where("k >= 3 and length(word) > 1").withColumn("weight", least).where("weight >= 1").orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
         lexicon = {r["word"]: float(r["weight"]) for r in chosen}
     if 0 < low < n or lexicon:
-        rows = sample.select("text", "low", "toxic", "fold").mapInArrow(_feature_rows(lexicon), "low int, toxic int, fold int, x array<double>").toPandas()  # LABELLED rows at most
+        rows = sample.select("group", "text", "low", "toxic", "fold").mapInArrow(
+            _feature_rows(lexicon), "group long, low int, toxic int, fold int, x array<double>").toPandas().sort_values("group")  # LABELLED rows at most, in one order
         x = np.stack(rows["x"].to_numpy())
         if 0 < low < n:
             low_model = fitted(x[:, :N_FEATURES], rows["low"].to_numpy().astype(float))

@@ -238,3 +238,14 @@ def test_sparse_sites_keep_their_parents_rate(llm_spark):
     rows = [("a", "en", 0.9)] * 300 + [("b", "en", 0.05)] * 300 + [("c", "en", 0.9)] + [("", "", 0.1)] * 20
     rates = {(r["source"], r["lang"]): r["rate_low"] for r in quality.site_rates(llm_spark.createDataFrame(rows, "source string, lang string, p_low double"), {"low": 0.3}).collect()}
     assert rates["a", "en"] > 0.85 and rates["b", "en"] < 0.1 and 0.2 < rates["c", "en"] < 0.8
+
+
+def test_quality_does_not_follow_the_layout_of_rows(llm_spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (llm_spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    found = []
+    for parts, order in ((3, "doc_id"), (7, "text")):
+        rows = quality.judged(docs.orderBy(F.desc(order)).repartition(parts), labels.repartition(parts)).select("doc.doc_id", "p_low", "p_toxic", "keep").orderBy("doc_id").collect()
+        found.append(rows)
+    assert [(r["doc_id"], r["keep"]) for r in found[0]] == [(r["doc_id"], r["keep"]) for r in found[1]]
+    assert all(abs(a[c] - b[c]) < 1e-9 for a, b in zip(*found) for c in ("p_low", "p_toxic"))
