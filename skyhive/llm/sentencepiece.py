@@ -1,13 +1,15 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi, or merges in order.
-
-Unigram models take the automaton. Scores of a BPE model are merge ranks, whose best sum is not the model's encoding;
-with `own_rule` its ids come from merges in that order, as the model defines them.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton drives a single-pass Viterbi.
 
 The model file gives pieces and scores. The automaton holds all ordinary pieces; at each character its output
 links name every piece that ends there, longest first, and each relaxes the best score at that position. The
 best segmentation has the greatest sum of scores; of equal ones the longer last piece stays. A character that
 is no piece costs UNKNOWN below the least score and is written as byte pieces, so decoding gives the text back.
 
+Scores of a BPE model are merge ranks, whose best sum is not the model's encoding. With `own_rule` a BPE model's
+pieces are relaxed under one more condition: a piece is admissible if it and the last piece at its start stay two
+pieces when merged by rank; any other scores minus infinity. Merging is local to neighbours, so one admissible piece
+at most ends at each position and the path gives the model's ids. Verdicts on pairs of pieces are kept, PAIRS at most.
+
 White space: a text that is not empty gets one space in front, spaces become U+2581 (a U+2581 of the text is
 written as bytes). If no piece has a space after another character, words are independent, and so is a
 character that no piece contains; only distinct words are put through the automaton then.
@@ -32,6 +34,7 @@ from skyhive.llm.common import flushes, id_and_text, prepare, spans, table
 
 SPACE = "▁"
 UNKNOWN = 10.0
+PAIRS = 400_000
 
 
 class Model(PieceEncoder):
@@ -40,12 +43,13 @@ class Model(PieceEncoder):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.segment = self.merged if own_rule and is_bpe(model) else self.viterbi
+        self.by_rank = own_rule and is_bpe(model)
         self.size = model.get_piece_size()
         self.automaton = ahocorasick.Automaton()
-        self.pieces, self.bytes_id, self.out = {}, {}, []
+        self.pieces, self.bytes_id, self.out, self.pairs = {}, {}, [], {}
+        self.names = [model.id_to_piece(i) for i in range(self.size)]
         for i in range(self.size):
-            name = model.id_to_piece(i)
+            name = self.names[i]
             if model.is_byte(i):
                 self.bytes_id[int(name[3:5], 16)] = i
                 self.out.append(bytes([int(name[3:5], 16)]))
@@ -78,30 +82,48 @@ class Model(PieceEncoder):
         """Ids of a text whose spaces are U+2581 already."""
         n = len(text)
         best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        by_rank, pairs = self.by_rank, self.pairs
         done = 0  # positions up to here have their final score
 
         def unknown(upto: int) -> None:
             nonlocal done
             for p in range(done, upto):  # single characters without a piece of their own
-                if text[p] not in self.pieces and best[p] + self.unknown > best[p + 1]:
+                if text[p] not in self.pieces and best[p] + self.unknown > best[p + 1] and (not by_rank or self.stay(text, p, back[p], text[p])):
                     best[p + 1], back[p + 1] = best[p] + self.unknown, (p, -1)
             done = max(done, upto)
 
         for end, (size, score, i) in self.automaton.iter(text):
-            unknown(end)
+            if end > done:
+                unknown(end)
             start = end + 1 - size
-            if best[start] + score > best[end + 1]:
-                best[end + 1], back[end + 1] = best[start] + score, (start, i)
+            if best[start] + score <= best[end + 1]:
+                continue
+            if by_rank:
+                last = back[start]
+                if last is None or last[1] < 0:
+                    stay = self.stay(text, start, last, self.names[i])
+                elif (stay := pairs.get(key := last[1] * self.size + i)) is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    stay = pairs[key] = self.stay(text, start, last, self.names[i])
+                if not stay:
+                    continue
+            best[end + 1], back[end + 1] = best[start] + score, (start, i)
         unknown(n)
         ids, at = [], n
         while at:
             start, i = back[at]
-            ids += [i] if i >= 0 else [self.bytes_id[b] for b in reversed(text[start:at].replace("\0" + SPACE, SPACE).encode())]
+            ids += [i] if i >= 0 else [self.bytes_id[b] for b in reversed(text[start:at].encode())]
             at = start
         return ids[::-1]
 
-    def merged(self, text: str) -> list[int]:
-        """The same by merges: of all neighbours that make a piece the best scored, of equal ones the first, join."""
+    def stay(self, text: str, start: int, last: tuple[int, int] | None, name: str) -> bool:
+        """Whether a piece stays as it is beside the last piece before it (None: at the start of the text)."""
+        before = text[last[0]:start] if last else ""
+        return self.merge(before + name) == [len(p) for p in (before, name) if p]
+
+    def merge(self, text: str) -> list[int]:
+        """Lengths of the pieces that merges leave: of all neighbours that make a piece the best scored, of equal ones the first, join."""
         n, pieces = len(text), self.pieces
         size, before, heap = [1] * n, list(range(-1, n - 1)), []
         for i in range(n - 1):
@@ -122,24 +144,19 @@ class Model(PieceEncoder):
             b = before[i]
             if b >= 0 and (piece := pieces.get(text[b:k])) is not None:
                 heapq.heappush(heap, (-piece[0], b, k - b))
-        ids, i = [], 0
-        while i < n:
-            piece = pieces.get(text[i:i + size[i]])
-            ids += [piece[1]] if piece is not None else [self.bytes_id[b] for b in text[i].encode()]
-            i += size[i]
-        return ids
+        return [k for k in size if k]
 
     def ids_of(self, pieces: list[bytes]) -> list[list[int]]:
         found = []
         for p in pieces:
             text = p.decode()
             if SPACE not in text:
-                found.append(self.segment(text.replace(" ", SPACE)))
+                found.append(self.viterbi(text.replace(" ", SPACE)))
                 continue
             ids = []
             for k, part in enumerate(text.split(SPACE)):  # the text's own U+2581 is never a space
                 ids += [self.bytes_id[b] for b in SPACE.encode()] if k else []
-                ids += self.segment(part.replace(" ", SPACE)) if part else []
+                ids += self.viterbi(part.replace(" ", SPACE)) if part else []
             found.append(ids)
         return found
 
