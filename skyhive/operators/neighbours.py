@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyhive.functions import geo
@@ -20,6 +20,9 @@ LEVELS = range(2, 15)
 LIST_FACTOR = 3
 UNIT_STEPS = 3
 
+DAYS = 31  # days of the longest month
+FOUND = "array<struct<km: double, station_id: {0}, value: double>>"
+
 
 def _mesh(lat: Column, lon: Column, level: Column) -> tuple[Column, Column]:
     width = F.lit(360.0) / F.pow(F.lit(2.0), level)
@@ -110,7 +113,6 @@ def nearest_sites(targets: DataFrame, sites: DataFrame, m: int, by: list[str] |
     if m == 1:  # one winner: a combining aggregate, nothing to rank
         return pairs.groupBy(*keys).agg(F.min(F.struct("km", "site")).alias("w")).select(
             *keys, F.col("w.site").alias("site"), F.col("w.km").alias("km"))
-    from pyspark.sql import Window
     order = Window.partitionBy(*keys).orderBy("km", "site")
     return pairs.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= m).drop("_n")
 
@@ -124,13 +126,21 @@ def station_cells(stations: DataFrame, res: int) -> DataFrame:
 
 def _cell_values(values: DataFrame, k: int) -> DataFrame:
     """Per cell and period the first k values by station id: stations of a cell are equally far from anywhere."""
-    from pyspark.sql import Window
     order = Window.partitionBy("cell", "period").orderBy("station_id")
     ranked = values.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     return ranked.groupBy("cell", "period").agg(
         F.array_sort(F.collect_list(F.struct("station_id", "value"))).alias("seen"))
 
 
+def _histories(seen: DataFrame, month: Column) -> DataFrame:
+    """Per site and month one vector: what its stations said on each day, NULL on days without a value."""
+    entry = F.struct(F.dayofmonth("period").alias("day"), "seen")
+    by_day = F.map_from_entries(F.collect_list(entry))  # one entry a day
+    grouped = seen.groupBy(F.col("cell").alias("site"), month).agg(by_day.alias("by_day"))
+    return grouped.select("site", "month", F.transform(
+        F.sequence(F.lit(1), F.lit(DAYS)), lambda d: F.try_element_at("by_day", d)).alias("days"))
+
+
 def _estimates(found: Column, k: int, power: float) -> dict[str, Column]:
     """Estimate columns from an ordered array of struct(km, station_id, value) of the k used neighbours."""
     weight = lambda e: 1.0 / F.pow(F.greatest(e["km"], F.lit(MIN_KM)), F.lit(power))
@@ -151,36 +161,46 @@ def neighbour_features(queries: DataFrame, values: DataFrame, k: int = NEIGHBOUR
                        hide_own_cell: bool = True) -> DataFrame:
     """Features of each (cell, period) from the k nearest stations that reported in that period.
 
-    queries: cell, period, cell_lat, cell_lon. values: station_id, cell, cell_lat, cell_lon, period, value.
-    With hide_own_cell all stations of the query's own cell are left out, so a hidden station can never
-    reach its own features.
+    queries: cell, period (a date; NULL asks for nothing), cell_lat, cell_lon. values: station_id, cell,
+    cell_lat, cell_lon, period, value. With hide_own_cell all stations of the query's own cell are left out, so
+    a hidden station can never reach its own features.
 
     Distances are worked out once between cells, not once per period: each cell gets a list of its nearest
-    cells, a few times longer than k, and the list is joined with the values. The few queries whose list
-    holds fewer than k reporting stations are searched again exactly, among the cells of their period.
+    cells, a few times longer than k. A reporting cell's values are one vector of days per month, and the
+    periods asked of a cell one bit per day, so lists meet vectors once a month; days are looked up in place
+    and no cell-day is exploded over its neighbours. The few queries whose list holds fewer than k reporting
+    stations are searched again exactly, among the cells of their period.
     """
-    queries = queries.select("cell", "period", "cell_lat", "cell_lon").distinct()
+    month = F.trunc("period", "month").alias("month")
+    asked = (queries.where(F.col("period").isNotNull()).groupBy("cell", month)
+             .agg(F.min("cell_lat").alias("cell_lat"), F.min("cell_lon").alias("cell_lon"),
+                  F.bit_or(F.expr("shiftleft(1, dayofmonth(period) - 1)")).alias("days_asked")))
     seen = _cell_values(values, k)
     spots = values.select("cell", "cell_lat", "cell_lon").distinct()
     m = LIST_FACTOR * k
     lists = nearest_sites(
-        queries.select(F.col("cell").alias("target"), F.col("cell_lat").alias("lat"),
-                       F.col("cell_lon").alias("lon")).distinct(),
+        asked.select(F.col("cell").alias("target"), F.col("cell_lat").alias("lat"),
+                     F.col("cell_lon").alias("lon")).distinct(),
         spots.select(F.col("cell").alias("site"), F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon")),
         m, skip_same=hide_own_cell)
-    lists = lists.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("km", "site"))).alias("near"))
-    asked = queries.join(lists.withColumnRenamed("target", "cell"), "cell", "left")
-    complete = F.coalesce(F.size("near"), F.lit(0)) < m
-    open_list = (asked.select("cell", "period", "cell_lat", "cell_lon", complete.alias("complete"),
-                              F.explode_outer("near").alias("n"))
-                 .select("cell", "period", "cell_lat", "cell_lon", "complete", "n.km", "n.site"))
-    hits = open_list.join(seen.withColumnRenamed("cell", "site"), ["site", "period"], "left")
-    flat = lambda c: F.slice(F.array_sort(F.flatten(c)), 1, k)
-    entry = F.when(F.col("seen").isNotNull(), F.transform("seen", lambda s: F.struct(
-        F.col("km").alias("km"), s["station_id"].alias("station_id"), s["value"].alias("value"))))
-    # collect_list skips NULLs and holds at most m entries of at most k values
-    first = cut_lineage(hits.groupBy("cell", "period", "cell_lat", "cell_lon", "complete").agg(
-        flat(F.collect_list(entry)).alias("found")))
+    lists = lists.withColumn("listed", F.count(F.lit(1)).over(Window.partitionBy("target")))
+    near = (lists.join(_histories(seen, month).join(asked.select("month").distinct(), "month", "left_semi"), "site")
+            .groupBy(F.col("target").alias("cell"), "month")
+            .agg(F.max("listed").alias("listed"), F.collect_list(F.struct("km", "days")).alias("near")))  # m at most
+    on_day = lambda d: F.transform(
+        F.filter("near", lambda n: F.get(n["days"], d - 1).isNotNull()),
+        lambda n: F.transform(F.get(n["days"], d - 1), lambda s: F.struct(
+            n["km"].alias("km"), s["station_id"].alias("station_id"), s["value"].alias("value"))))
+    wanted = F.filter(F.sequence(F.lit(1), F.lit(DAYS)), lambda d: F.getbit("days_asked", d - 1) == 1)
+    by_day = F.transform(wanted, lambda d: F.struct(
+        d.alias("day"), F.coalesce(F.slice(F.array_sort(F.flatten(on_day(d))), 1, k),
+                                   F.array().cast(FOUND.format(values.schema["station_id"].dataType.simpleString()))).alias("found")))
+    first = cut_lineage(
+        asked.join(near, ["cell", "month"], "left")
+        .select("cell", "month", "cell_lat", "cell_lon", F.coalesce(F.col("listed") < m, F.lit(False)).alias("complete"),
+                F.explode(by_day).alias("d"))
+        .select("cell", F.date_add("month", F.col("d.day") - 1).alias("period"), "cell_lat", "cell_lon", "complete",
+                "d.found"))
     done = (F.size("found") >= k) | F.col("complete")
     settled = first.where(done).select("cell", "period", "found")
     return _finish(settled, _second_search(first.where(~done), seen, spots, k, hide_own_cell),
