@@ -96,7 +96,7 @@ class Model(PieceEncoder):
             if end > done:
                 unknown(end)
             start = end + 1 - size
-            if best[start] + score <= best[end + 1]:
+            if best[start] + score <= best[end + 1] or by_rank and back[end + 1] is not None:  # one admissible piece at most
                 continue
             if by_rank:
                 last = back[start]
@@ -120,6 +120,8 @@ class Model(PieceEncoder):
     def stay(self, text: str, start: int, last: tuple[int, int] | None, name: str) -> bool:
         """Whether a piece stays as it is beside the last piece before it (None: at the start of the text)."""
         before = text[last[0]:start] if last else ""
+        if before and before + name in self.pieces:  # the two would join
+            return False
         return self.merge(before + name) == [len(p) for p in (before, name) if p]
 
     def merge(self, text: str) -> list[int]:
