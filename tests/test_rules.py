@@ -382,3 +382,16 @@ def test_batch_results_take_the_last_and_keep_the_batch_status(spark):
                                      ("b", "h3", 3, ("x",), ["other"])], "batch string, item string, position int, result struct<source:string>, keys array<string>")
     got = {(r.batch, r.item): (r.status, r.result and r.result.source) for r in replies.match_batch(asked, results, "batch", "item", ["source"]).collect()}
     assert got == {("b", "h1"): ("ok", "new"), ("b", "h2"): ("ok", None), ("b", "h3"): ("missing_from_batch", None), ("c", "h1"): ("unparseable", None)}
+
+
+def test_bootstrap_picks_are_dealt_out_and_looked_up(spark):
+    rows = [(f"s{i}", dt.date(2024, 1, 1 + d), "0-20 km", float(i), i + 1.0, i + 2.0) for i in range(40) for d in range(3)]
+    wide = spark.createDataFrame(rows, "station_id string, period date, band string, actual double, idw_k8 double, nearest_station double")
+    picks, _ = bootstrap.station_draws(wide.select("station_id").distinct(), 50, 0)
+    assert picks.count() == 40 * 50
+    assert picks.select(F.spark_partition_id()).distinct().count() > 1
+    out = bootstrap.station_bootstrap(wide, ["idw_k8", "nearest_station"], 50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the picks, many times the stations, are never the side that is held in memory or broadcast
+    assert "ShuffledHashJoin [pos" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin [pos" in x]
+    assert {(r.model, r.stations, r.station_days, r.mae) for r in out.collect()} == {("idw_k8", 40, 120, 1.0), ("nearest_station", 40, 120, 2.0)}
