@@ -395,3 +395,49 @@ def test_bootstrap_picks_are_dealt_out_and_looked_up(spark):
     # the picks, many times the stations, are never the side that is held in memory or broadcast
     assert "ShuffledHashJoin [pos" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin [pos" in x]
     assert {(r.model, r.stations, r.station_days, r.mae) for r in out.collect()} == {("idw_k8", 40, 120, 1.0), ("nearest_station", 40, 120, 2.0)}
+
+
+def test_centroids_on_a_border_of_the_coarser_lattice_are_decided_exactly(spark):
+    import duckdb
+
+    from skyhive.registry.sqltext import parent_exact
+
+    qs, rs = range(100, 130), range(-60, -30)
+    rows = [(q, r) for q in qs for r in rs]
+    cells = spark.createDataFrame(rows, "q long, r long").withColumn("cell", geo.pack(F.lit(7), F.col("q"), F.col("r")))
+    got = {(x.q, x.r): (x.p, x.odd) for x in cells.select("q", "r", geo.parent_exact("cell", 5, 7).alias("p"), geo.parent_exact("cell", 6, 7).alias("odd")).collect()}
+
+    def held(q, r, m=7):
+        """The rule of cell_of in whole numbers: sevenths of a side."""
+        near = lambda v: (2 * v + m) // (2 * m)
+        a, b, c = near(q), near(r), near(-q - r)
+        da, db, dc = abs(m * a - q), abs(m * b - r), abs(m * c + q + r)
+        if da > db and da > dc:
+            a = -b - c
+        elif db > dc:
+            b = -a - c
+        return (5 << 56) + ((a + geo.AXIS_OFFSET) << 28) + b + geo.AXIS_OFFSET
+
+    assert {k: v[0] for k, v in got.items()} == {k: held(*k) for k in rows}
+    ids = [((7 << 56) + ((q + geo.AXIS_OFFSET) << 28) + r + geo.AXIS_OFFSET, q, r) for q, r in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c (cell BIGINT, q BIGINT, r BIGINT)")
+    con.executemany("INSERT INTO c VALUES (?, ?, ?)", ids)
+    said = con.execute(f"SELECT q, r, {parent_exact('cell', 7, 5)}, {parent_exact('cell', 7, 6)} FROM c").fetchall()
+    assert {(q, r): (p, odd) for q, r, p, odd in said} == got
+
+
+def test_sql_of_filed_health_counts_a_sensor_and_time_once():
+    import duckdb
+
+    from skyhive import registry
+    from skyhive.registry.sqltext import FRAGMENTS
+
+    assert "filed_station_health" in registry.all_oracles()
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sent AS SELECT * FROM (VALUES (1, 'n', 1.0, 2.0, 'c', 's', 'pm25', 5.0, TIMESTAMP '2024-01-20 00:00:00', 1),"
+                " (1, 'n', 1.0, 2.0, 'c', 's', 'pm25', 6.0, TIMESTAMP '2024-01-20 00:00:00', 2), (1, 'n', 1.0, 2.0, 'c', 's', 'pm10', 7.0, TIMESTAMP '2024-01-20 00:00:00', 3))"
+                " t(location_id, station_name, lat, lon, city, state, parameter, value, timestamp_utc, line)")
+    rows = con.execute(f"SELECT parameter, value FROM ({FRAGMENTS['sent_rows'][0]}) ORDER BY parameter").fetchall()
+    assert rows == [("pm10", 7.0), ("pm25", 6.0)]
