@@ -441,3 +441,34 @@ def test_sql_of_filed_health_counts_a_sensor_and_time_once():
                 " t(location_id, station_name, lat, lon, city, state, parameter, value, timestamp_utc, line)")
     rows = con.execute(f"SELECT parameter, value FROM ({FRAGMENTS['sent_rows'][0]}) ORDER BY parameter").fetchall()
     assert rows == [("pm10", 7.0), ("pm25", 6.0)]
+
+
+def test_block_bootstrap_matches_drawn_days_and_no_pick_is_a_row(spark):
+    import hashlib
+
+    rng = random.Random(4)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=d), rng.uniform(5, 90), rng.uniform(5, 90), rng.uniform(5, 90)) for s, n in (("a", 17), ("b", 3), ("c", 7)) for d in range(n)]
+    df = spark.createDataFrame(rows, "station_id string, period date, actual double, idw_k8 double, m double")
+    out = bootstrap.block_bootstrap(df, ["idw_k8", "m"], draws=40)
+    assert "Generate explode(sequence" not in out._jdf.queryExecution().analyzed().toString()
+    for r in out.collect():
+        days = [x for x in rows if x[0] == r.station_id]
+        n, at, maes, gains = len(days), 3 if r.model == "idw_k8" else 4, [], []
+        for draw in range(40):
+            drawn = []
+            for block in range(-(-n // 7)):
+                start = int(hashlib.md5(f"0|{draw}|{block}".encode()).hexdigest()[:7], 16) % (max(n - 7, 0) + 1)
+                drawn += [days[start + step] for step in range(7) if block * 7 + step < n]
+            error = lambda i: sum(abs(x[i] - x[2]) for x in drawn) / n
+            maes.append(error(at))
+            gains.append(100 * (error(3) - error(at)) / error(3))
+
+        def cut(values, share):
+            values, pos = sorted(values), share * (len(values) - 1)
+            low = math.floor(pos)
+            return values[low] + (values[math.ceil(pos)] - values[low]) * (pos - low)
+
+        assert (r.days, r.mae_lo, r.mae_hi) == (n, pytest.approx(cut(maes, 0.025)), pytest.approx(cut(maes, 0.975)))
+        assert (r.vs_idw_lo is None) == (r.model == "idw_k8")
+        if r.model == "m":
+            assert (r.vs_idw_lo, r.vs_idw_hi) == (pytest.approx(cut(gains, 0.025)), pytest.approx(cut(gains, 0.975)))
