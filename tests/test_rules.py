@@ -472,3 +472,31 @@ def test_block_bootstrap_matches_drawn_days_and_no_pick_is_a_row(spark):
         assert (r.vs_idw_lo is None) == (r.model == "idw_k8")
         if r.model == "m":
             assert (r.vs_idw_lo, r.vs_idw_hi) == (pytest.approx(cut(gains, 0.025)), pytest.approx(cut(gains, 0.975)))
+
+
+def test_points_meet_polygons_up_to_the_first_that_covers_their_tile(spark):
+    rng = random.Random(9)
+
+    def diamond(k):
+        cx, cy = rng.uniform(70, 72), rng.uniform(20, 22)
+        return (k, f"d{k}", [[(cx + 0.9, cy), (cx, cy + 0.9), (cx - 0.9, cy), (cx, cy - 0.9), (cx + 0.9, cy)]])
+
+    shapes = [diamond(k) for k in range(300)]
+    polygons = spark.createDataFrame(shapes, "ord long, name string, rings array<array<struct<lon:double,lat:double>>>")
+    spots = [(i, rng.uniform(68.5, 73.5), rng.uniform(18.5, 23.5)) for i in range(400)]
+    points = spark.createDataFrame(spots, "id long, lon double, lat double")
+    got = {r.id: r.region for r in regions.assign(points, polygons, "id").collect()}
+
+    def region(x, y):
+        for _, name, ((east, top, *_),) in shapes:
+            if abs(x - top[0]) + abs(y - east[1]) < 0.9:
+                return name
+
+    for i, x, y in spots:
+        if region(x, y) or got[i] is None:
+            assert got[i] == region(x, y)
+        else:  # snapped to an edge in reach
+            east, top = shapes[int(got[i][1:])][2][0][:2]
+            assert 0 <= (abs(x - top[0]) + abs(y - east[1]) - 0.9) <= 0.05 * math.sqrt(2) + 1e-9
+    crowd = lambda t: t.where("tx = 142 and ty = 42").count()
+    assert 0 < crowd(regions.deciding_tiles(polygons)) < crowd(regions.tiles(polygons, regions.SNAP_DEG, regions.ASSIGN_DEG)) / 3
