@@ -77,6 +77,20 @@ def test_probe_log_keeps_the_later_line(spark, tmp_path):
     assert len(got) == 1 and got[0].lat == 2.0
 
 
+def test_probe_log_is_read_in_parts(spark, tmp_path):
+    lines = [json.dumps({"location_id": i % 50, "name": "x" * 200, "coords_year": i}) for i in range(4000)]
+    (tmp_path / "p.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = files.placed_lines(spark, str(tmp_path / "p.jsonl"))
+        assert rows.select("block").distinct().count() > 5
+        assert rows.select(F.max(F.length("value"))).first()[0] < 400
+        got = {r.location_id: r.coords_year for r in files.read_probes(spark, str(tmp_path / "p.jsonl")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: 3950 + k for k in range(50)}
+
+
 def test_only_changed_partitions_are_rewritten(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([("S", "pm25", "2024-01", 5.0, "ug/m3"), ("S", "no2", "2024-01", 5.0, "ug/m3"), ("T", "pm25", "2024-01", 9000.0, "ug/m3")],
