@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies stays: SimHash links by covering, and bands for pairs further apart, all
+    checked on the sets of five-word shingles (similarity 0.8 or more)."""
     return without_copies(docs)
 
 

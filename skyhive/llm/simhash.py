@@ -14,7 +14,8 @@ Only distinct fingerprints take part, so copies cost nothing. An anchor's linked
 spanning forest where they are found; an anchor with more than CROWD members is dealt out as pairs of its
 parts. Nothing is capped.
 
-Near copies by the likeness of shingle sets (`without_copies`) take bands of MinHash values instead.
+Near copies by the likeness of shingle sets (`without_copies`) check these links on the sets, and add bands of MinHash
+values for pairs whose fingerprints differ in more bits.
 """
 
 from __future__ import annotations
@@ -351,6 +352,7 @@ BANDS, BAND_ROWS = 32, 4
 _FACTORS = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"factor", i) for i in range(BANDS * BAND_ROWS // 2)), np.uint64) | np.uint64(1)
 _OFFSETS = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"offset", i) for i in range(BANDS * BAND_ROWS // 2)), np.uint64)
 PART, PART_BYTES = 1024, 4 << 20
+PRINT_WORDS = 3  # shingles of the fingerprints, as in near_duplicates
 
 
 def band_keys(shingles: np.ndarray) -> bytes:
@@ -364,21 +366,23 @@ def band_keys(shingles: np.ndarray) -> bytes:
 
 
 def _prints_of_copies(words: int):
-    names = ["row_a", "row_b", "doc_id", "same_a", "same_b", "size", "bands"]
+    names = ["row_a", "row_b", "doc_id", "same_a", "same_b", "size", "bands", "print"]
 
     def run(batches):
         for batch in batches:
-            same, sizes, bands = [], [], []
+            same, sizes, bands, prints = [], [], [], []
             for t in batch.column("text").to_pylist():
                 text = t.encode().lower()
                 same.append(xxhash.xxh3_128_digest(b" ".join(text.split())))
                 shingles = shingle_set(text, words)
                 sizes.append(len(shingles))
                 bands.append(band_keys(shingles))
+                prints.append(fingerprint(shingle_hashes(text, PRINT_WORDS)).tobytes())
             twin = np.frombuffer(b"".join(same), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_a"), batch.column("row_b"), batch.column("doc_id"), pa.array(twin[:, 0].copy()), pa.array(twin[:, 1].copy()),
-                 pa.array(sizes, pa.int64()), pa.array(bands, pa.binary())], names=names)
+                 pa.array(sizes, pa.int64()), pa.array(bands, pa.binary()),
+                 pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))], names=names)
 
     return run
 
@@ -464,9 +468,19 @@ def _parts_joined(similarity: float):
     return run
 
 
+def links_of_prints(nodes: DataFrame, threshold: int = 3) -> DataFrame:
+    """Links (a, b) that join all nodes (node, print) whose fingerprints differ in at most `threshold` bits, by covering."""
+    firsts = stored(nodes.groupBy("print").agg(F.min("node").alias("node")), "distinct-prints")
+    sent = firsts.select("node", F.unhex(F.lpad(F.hex("print"), 16, "0")).alias("blocks"), "print")
+    equal = nodes.join(firsts.select("print", F.col("node").alias("b")), "print").where("node <> b").select(F.col("node").alias("a"), "b")
+    return links(sent, 2, ["print"], threshold).unionByName(equal)
+
+
 def links_of_sets(nodes: DataFrame, sets_of, similarity: float, part: int = PART) -> DataFrame:
-    """Links (a, b) that join all nodes that share a band and whose sets are alike. nodes: node, size, bands;
-    sets_of(nodes) gives node and shingles.
+    """Links (a, b) that join all nodes linked by fingerprints or sharing a band, whose sets are alike. nodes: node, size,
+    bands, print; sets_of(nodes) gives node and shingles.
+
+    SimHash links are candidates first; bands add pairs whose fingerprints lie further apart than covering reaches.
 
     First every member of a band's key is held against the smallest one. Keys whose members these verified links
     do not join wholly are then searched for all links between what is still apart, a large one in pairs of parts.
@@ -474,8 +488,11 @@ def links_of_sets(nodes: DataFrame, sets_of, similarity: float, part: int = PART
     banded = nodes.select("node", "bands").mapInArrow(_banded, "key long, node long")
     least = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     shared = stored(banded.join(least, "key"), "shared-bands")
-    sets = stored(sets_of(shared.select("node").distinct()), "shingle-sets")
-    near = stored(shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near")
+    printed = stored(links_of_prints(nodes.select("node", "print")).select("a", "b"), "print-links")
+    ends = shared.select("node").unionByName(printed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = stored(sets_of(ends), "shingle-sets")
+    banded_pairs = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    near = stored(printed.unionByName(banded_pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
     sided = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     true = stored(sided.select("a", "b", "of_a", "of_b").mapInArrow(_alike(similarity), "a long, b long"), "verified")
     placed = (shared.select("key", "node").join(components(true), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
@@ -490,25 +507,26 @@ def links_of_sets(nodes: DataFrame, sets_of, similarity: float, part: int = PART
               .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "members"))
     more = paired.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_parts_joined(similarity), "a long, b long")
     found = stored(true.unionByName(more), "set-links")
-    discard(shared, sets, near, left)
+    discard(shared, printed, sets, near, left)
     return found
 
 
 def without_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies (Jaccard of word shingles), that with the smallest doc_id.
 
-    Candidates share one of 32 bands of four MinHash values of their shingle sets: a pair at similarity s is missed
-    with probability (1 - s^4)^32, 5e-8 at 0.8, wherever its differences sit. All links are verified on the sets.
+    Candidates are the SimHash links of near_duplicates (three-word shingles, 3 bits), and, for pairs further apart, rows that
+    share one of 32 bands of four MinHash values of their shingle sets: a pair at similarity s is missed with probability
+    (1 - s^4)^32, 5e-8 at 0.8, wherever its differences sit. All links are verified on the sets.
     Rows without doc_id go before those with one. All columns pass through.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     key_a, key_b = F.xxhash64("doc_id", text), F.xxhash64(text, F.lit(7), "doc_id")
     rows = docs.select(key_a.alias("row_a"), key_b.alias("row_b"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    prints = stored(rows.mapInArrow(_prints_of_copies(words), "row_a long, row_b long, doc_id long, same_a long, same_b long, size long, bands binary"), "prints")
+    prints = stored(rows.mapInArrow(_prints_of_copies(words), "row_a long, row_b long, doc_id long, same_a long, same_b long, size long, bands binary, print long"), "prints")
     # one node for each text; its number is that of its first row
     first = F.min_by(F.struct("row_a", "row_b", "doc_id"), F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)), "row_a"))
-    nodes = stored(prints.groupBy("same_a", "same_b", "size", "bands").agg(first.alias("r")).select("size", "bands", "r.*")
+    nodes = stored(prints.groupBy("same_a", "same_b", "size", "bands", "print").agg(first.alias("r")).select("size", "bands", "print", "r.*")
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:

@@ -169,6 +169,21 @@ def test_one_of_each_group_stays(llm_spark, corpus, nothing):
     assert simhash.without_copies(nothing).count() == 0
 
 
+def test_near_copies_are_found_by_fingerprints_before_bands(llm_spark, monkeypatch):
+    """Without any shared band the SimHash links alone join texts a few bits apart; the set check still refuses others."""
+    rng = random.Random(5)
+    base = ["w%d" % rng.randrange(3000) for _ in range(600)]
+    near = base[:300] + ["changed"] + base[301:]
+    far = ["v%d" % rng.randrange(3000) for _ in range(600)]
+    prints = [int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(" ".join(t).encode(), 3)).tobytes()) for t in (base, near, far)]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    nodes = llm_spark.createDataFrame([(i, 1, bytes(256), p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "node long, size long, bands binary, print long")
+    found = simhash.links_of_prints(nodes.select("node", "print")).collect()
+    assert {tuple(sorted((r.a, r.b))) for r in found} == {(0, 1)}
+    monkeypatch.setattr(simhash, "_banded", lambda batches: (b.select([]).from_arrays([b.column("node"), b.column("node")], names=["key", "node"]) for b in batches))
+    assert stays(llm_spark, [" ".join(t) for t in (base, near, far)]) == 2
+
+
 def stays(spark, texts):
     return simhash.without_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
 
