@@ -177,6 +177,24 @@ def test_nearest_sites_match_brute_force_around_the_globe(spark):
         assert [k for _, k in sorted(got[key])] == [k for _, k in want]
 
 
+def test_a_crowd_in_reach_is_not_compared_site_by_site(spark):
+    from skyhive.operators.neighbours import _at_levels, _searched
+
+    rng = random.Random(7)
+    sites = [(i, 20 + rng.random() / 2, 75 + rng.random() / 2) for i in range(3000)] + [(5000, 25.0, 80.0), (5001, 24.0, 70.0)]
+    spots = [(i, 18 + 4 * rng.random(), 73 + 4 * rng.random()) for i in range(200)]
+    s, t = spark.createDataFrame(sites, "site long, lat double, lon double"), spark.createDataFrame(spots, "target long, lat double, lon double")
+    searched, levels = _searched(t, s, [], 3)
+    pairs = (_at_levels(t, levels, "ty", "tx").join(searched, ["level", "ty", "tx"])
+             .join(_at_levels(s, levels, "sy", "sx").select("level", "sy", "sx", "site"), ["level", "sy", "sx"]).count())
+    assert pairs <= 200 * (4 * 3 + 16)
+    got = {}
+    for r in nearest_sites(t, s, 3).collect():
+        got.setdefault(r.target, []).append((r.km, r.site))
+    for key, lat, lon in spots:
+        assert [k for _, k in sorted(got[key])] == [k for _, k in sorted((kilometres(lat, lon, a, b), k) for k, a, b in sites)[:3]]
+
+
 def test_neighbours_never_see_their_own_cell_and_fall_back_exactly(spark):
     rng = random.Random(5)
     stations_ = [(f"s{i:03d}", 20 + rng.random() * 3, 75 + rng.random() * 3) for i in range(120)] + [("twin-a", 21.0, 76.0), ("twin-b", 21.0, 76.0)]
