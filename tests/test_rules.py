@@ -518,3 +518,13 @@ def test_points_meet_polygons_up_to_the_first_that_covers_their_tile(spark):
             assert 0 <= (abs(x - top[0]) + abs(y - east[1]) - 0.9) <= 0.05 * math.sqrt(2) + 1e-9
     crowd = lambda t: t.where("tx = 142 and ty = 42").count()
     assert 0 < crowd(regions.deciding_tiles(polygons)) < crowd(regions.tiles(polygons, regions.SNAP_DEG, regions.ASSIGN_DEG)) / 3
+
+
+def test_cells_of_many_polygons_are_laid_by_many_tasks(spark):
+    from skyhive.operators.grid import FILL_PARTS, fill
+
+    ring = "array(array(named_struct('lon', x, 'lat', 20D), named_struct('lon', x + 1, 'lat', 20D), named_struct('lon', x + 1, 'lat', 21D), named_struct('lon', x, 'lat', 20D)))"
+    polygons = spark.range(40).selectExpr("id AS ord", "'p' || id AS name", "75 + id * 0.01D AS x").selectExpr("ord", "name", f"{ring} AS rings")
+    cells = fill(polygons, 5, "name")
+    assert "REPARTITION_BY_NUM" in cells._jdf.queryExecution().toString() and FILL_PARTS > 1
+    assert cells.count() == cells.select("cell").distinct().count() > 0
