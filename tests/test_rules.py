@@ -528,3 +528,11 @@ def test_cells_of_many_polygons_are_laid_by_many_tasks(spark):
     cells = fill(polygons, 5, "name")
     assert "REPARTITION_BY_NUM" in cells._jdf.queryExecution().toString() and FILL_PARTS > 1
     assert cells.count() == cells.select("cell").distinct().count() > 0
+
+
+def test_detections_are_reduced_once(spark):
+    rows = spark.createDataFrame([(20.0, 75.0, dt.date(2024, 1, 1), 600, "h", "A_SP", 0, 5.0, 1), (20.0, 75.0, dt.date(2024, 1, 1), 600, "h", "A_SP", 0, 7.0, 2)],
+                                 "latitude double, longitude double, acq_date date, acq_time int, confidence string, source string, type int, frp double, line int")
+    judged = fires.judge_fires(rows, ["line"])
+    assert "min_by" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.frp, r.copies, r.drop_reason) for r in judged.collect()] == [(5.0, 2, None)]
