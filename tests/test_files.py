@@ -62,6 +62,39 @@ def test_fires_with_and_without_type(spark, tmp_path):
     assert (got["A_NRT"].type, got["A_NRT"].frp, got["A_NRT"].confidence) == (None, 6.0, "h")
 
 
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('b,a\n"1, ""x""",2\n')
+    rows = files.headed_rows(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string"})
+    assert [(r.a, r.b) for r in rows.collect()] == [(2, '1, "x"')]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") <= 2  # the header and the line
+
+
+def test_lines_with_and_without_quotes_give_the_same_cells(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b,c,d\n1,,  x y ,\n"1",,"  x y ",\n2,"",µ\n3,z,"p, ""q""",w,extra,"more"\n4\n')
+    rows = files.headed_rows(spark, str(tmp_path / "x.csv"), {"a": "int", "b": "string", "c": "string", "d": "string"})
+    got = [tuple(r)[:4] for r in rows.orderBy("line").collect()]
+    assert got == [(1, None, "  x y ", None), (1, None, "  x y ", None), (2, None, "µ", None), (3, "z", 'p, "q"', "w"), (4, None, None, None)]
+
+
+def test_fires_are_read_in_parts(spark, tmp_path):
+    (tmp_path / "A_SP").mkdir()
+    lines = [f"{i % 90},2,2024-01-01,1345,n,{i % 7},D,2" for i in range(5000)]
+    (tmp_path / "A_SP" / "x.csv").write_text("\ufefflatitude,longitude,acq_date,acq_time,confidence,frp,daynight,type\n\n" + "\n".join(lines) + "\n")
+    (tmp_path / "A_NRT").mkdir()
+    (tmp_path / "A_NRT" / "y.csv").write_text("frp,latitude\n" + "6,1\n" * 3000)
+    (tmp_path / "A_NRT" / "head.csv").write_text("latitude,frp\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = files.read_fires(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("frp").alias("frp"), F.sum("latitude").alias("lat")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.source, r.n, r.frp, r.lat) for r in got} == {
+        ("A_SP", 5000, float(sum(i % 7 for i in range(5000))), float(sum(i % 90 for i in range(5000)))), ("A_NRT", 3000, 18000.0, 3000.0)}
+
+
 def test_regions_from_geojson(spark, tmp_path):
     ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
     doc = {"features": [{"properties": {"shapeName": "Nādu"}, "geometry": {"type": "Polygon", "coordinates": [ring]}},
