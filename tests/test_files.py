@@ -24,6 +24,22 @@ def test_records_with_a_broken_file(spark, tmp_path):
     assert len(bad) == 1 and bad[0].source_file.endswith("20240102.csv.gz")
 
 
+def test_files_that_break_off_are_unreadable_too(spark, tmp_path):
+    folder = tmp_path / "locationid=5" / "year=2024" / "month=01"
+    folder.mkdir(parents=True)
+    head = b"location_id,sensors_id,location,datetime,lat,lon,parameter,units,value\n"
+    rest = b"".join(b"5,50,A,2024-01-01T00:00:00+05:30,20.5,75.5,pm25,ug/m3,%d\n" % (i * 7919 % 1000003) for i in range(50000))
+    whole = gzip.compress(head + rest)
+    (folder / "a.csv.gz").write_bytes(whole)
+    (folder / "b.csv.gz").write_bytes(whole[:len(whole) // 2])
+    (folder / "c.csv.gz").write_bytes(gzip.compress(head))
+    (folder / "d.csv.gz").write_bytes(gzip.compress(b""))
+    rows = files.read_records(spark, str(tmp_path))
+    delivered = {r.source_file.rsplit("/", 1)[1] for r in rows.select("source_file").distinct().collect()}
+    bad = {r.source_file.rsplit("/", 1)[1] for r in files.unreadable_files(spark, str(tmp_path), rows).collect()}
+    assert (delivered, bad) == ({"a.csv.gz"}, {"b.csv.gz", "d.csv.gz"})
+
+
 def test_records_by_their_own_header_and_line_order(spark, tmp_path):
     folder = tmp_path / "locationid=5" / "year=2024" / "month=01"
     folder.mkdir(parents=True)
