@@ -536,3 +536,32 @@ def test_detections_are_reduced_once(spark):
     judged = fires.judge_fires(rows, ["line"])
     assert "min_by" not in judged._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.frp, r.copies, r.drop_reason) for r in judged.collect()] == [(5.0, 2, None)]
+
+
+def test_cell_days_reduce_detections_once_and_sum_for_station_cells_only(spark, monkeypatch):
+    from skyhive.functions import geo
+    from skyhive.operators import fires
+    from skyhive.registry import signals
+
+    calls, targets = [], []
+    judge, sums = fires.judge_fires, fires.radius_sums
+    monkeypatch.setattr(fires, "judge_fires", lambda *a, **k: calls.append(1) or judge(*a, **k))
+    monkeypatch.setattr(fires, "radius_sums", lambda cells, *a, **k: targets.append(cells) or sums(cells, *a, **k))
+    sf = "/root/testdata/sf0.001"
+    rows = signals.cell_days(spark, sf)
+    around = {r[0] for r in rows.select(geo.parent("cell", 5, 7)).distinct().collect()}
+    assert len(calls) == 1 and {r.region_cell for r in targets[0].collect()} <= around
+    signals.full_days(spark, sf)
+    assert len(calls) == 2
+
+
+def test_judged_fires_carry_the_columns_asked_for(spark):
+    import datetime as dt
+
+    from skyhive.operators import fires
+
+    rows = spark.createDataFrame([(10.0, 70.0, dt.date(2024, 1, 2), 600, 5.0, "n", "A_SP", 0, 2, "x"), (10.0, 70.0, dt.date(2024, 1, 2), 600, 6.0, "l", "A_SP", 0, 1, "y")],
+                                 "latitude double, longitude double, acq_date date, acq_time int, frp double, confidence string, source string, type int, line int, note string")
+    got = fires.judge_fires(rows, ["line"], keep=["frp"])
+    assert "note" not in got.columns and "line" not in got.columns
+    assert [(r.frp, r.copies, r.drop_reason) for r in got.collect()] == [(6.0, 2, "low_confidence")]
