@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyhive.operators import learn
-from skyhive.operators.bootstrap import combine
+from skyhive.operators.bootstrap import THRESHOLD_KM
 from skyhive.operators.predict import route, with_confidence
 from skyhive.operators.validate import BASELINES, per_period
-from skyhive.session import cut_lineage
 from skyhive.sinks.tables import replace_partitions
 
 NEAR, FAR = "m3_residual_l2_nogeo", "m1_level_l1"
@@ -56,8 +55,7 @@ def hidden_predictions(fits: dict[str, learn.Fitted], rows: DataFrame) -> DataFr
 
     rows: hidden station-days with FEATURES, actual, cell, fold and band.
     """
-    scored = rows
-    for name, fitted in fits.items():
-        scored = learn.predict_hidden(fitted, scored, name)
-    periods = cut_lineage(per_period(scored, {**BASELINES, **{n: n for n in fits}}), "variant-periods")
-    return periods.unionByName(combine(periods, NEAR, FAR).drop("component"))
+    scored = learn.predict_variants(fits, rows)
+    near = F.coalesce(F.col("dist_nearest_km") <= THRESHOLD_KM, F.lit(False))
+    both = scored.withColumn("combined", F.when(near, F.col(NEAR)).otherwise(F.col(FAR)))
+    return per_period(both, {**BASELINES, **{n: n for n in [*fits, "combined"]}})

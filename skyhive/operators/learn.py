@@ -136,11 +136,22 @@ def _scored(fitted: Fitted, fold: int, rows: DataFrame, name: str) -> DataFrame:
 
 def predict_hidden(fitted: Fitted, rows: DataFrame, name: str) -> DataFrame:
     """Each row scored by the model that never trained on its cell; cells without a fold use fold 0."""
+    return predict_variants({name: fitted}, rows)
+
+
+def predict_variants(fits: dict[str, Fitted], rows: DataFrame) -> DataFrame:
+    """The same for several sets over one split into folds, a column each. The rows are split by fold once for all sets, so
+    that they are read as often as there are folds, not once for every choice of a fold in each set."""
+    splits = {tuple(sorted(fitted.models)) for fitted in fits.values()}
+    if len(splits) != 1:
+        raise ValueError(f"sets over different folds: {sorted(splits)}")
     placed = rows.withColumn("fold", F.coalesce("fold", F.lit(0)))
     parts = []
-    for fold in fitted.models:
-        scored = _scored(fitted, fold, placed.where(F.col("fold") == fold), "_raw")
-        parts.append(scored.withColumn(name, _anchor(F.col("_raw"), fitted.target)).drop("_raw"))
+    for fold in splits.pop():
+        scored = placed.where(F.col("fold") == fold)
+        for name, fitted in fits.items():
+            scored = _scored(fitted, fold, scored, "_raw").withColumn(name, _anchor(F.col("_raw"), fitted.target)).drop("_raw")
+        parts.append(scored)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -226,3 +226,25 @@ def test_routes_near_and_far_models(spark):
     finally:
         learn.predict_mean = held
     assert [(r.route, r.estimate) for r in out] == [("near", 6.0), ("far", 40.0), ("far", 40.0)]
+
+
+def test_variants_read_rows_once_a_fold(spark, tmp_path, monkeypatch):
+    from skyhive.operators import deploy, learn
+
+    monkeypatch.setattr(learn, "_scored", lambda fitted, fold, rows, name: rows.withColumn(name, F.lit(float(fitted.models[fold]))))
+    fits = {deploy.NEAR: learn.Fitted({0: 1, 1: 2, 2: 3}, [], "residual"), "other": learn.Fitted({0: 4, 1: 5, 2: 6}, [], "level"),
+            deploy.FAR: learn.Fitted({0: 7, 1: 8, 2: 9}, [], "level")}
+    spark.createDataFrame([("a", 0, 100.0, 10.0), ("b", 1, 100.5, 10.0), ("c", 2, None, None), ("d", None, 1.0, 20.0)],
+                          "station_id string, fold int, dist_nearest_km double, neighbour_idw double").select(
+        "*", F.lit("2024-01-01").cast("date").alias("period"), F.lit("0-20 km").alias("band"), F.lit(1.0).alias("actual"),
+        F.col("neighbour_idw").alias("neighbour_nearest")).write.parquet(str(tmp_path / "rows"))
+    out = deploy.hidden_predictions(fits, spark.read.parquet(str(tmp_path / "rows")))
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # three variants over three folds were 27 readings of the rows, and the combined form met itself by a shuffle
+    assert leaves.size() == 3 and "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.collect():
+        assert got.setdefault((r.station_id, r.model), r.predicted) == r.predicted
+    assert [got[s, deploy.NEAR] for s in "abcd"] == [11.0, 12.0, None, 21.0]
+    assert [got[s, "other"] for s in "abcd"] == [4.0, 5.0, 6.0, 4.0]
+    assert [got[s, "combined"] for s in "abcd"] == [11.0, 8.0, 9.0, 21.0] and out.count() == 4 * 6
