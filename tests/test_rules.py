@@ -565,3 +565,29 @@ def test_judged_fires_carry_the_columns_asked_for(spark):
     got = fires.judge_fires(rows, ["line"], keep=["frp"])
     assert "note" not in got.columns and "line" not in got.columns
     assert [(r.frp, r.copies, r.drop_reason) for r in got.collect()] == [(6.0, 2, "low_confidence")]
+
+
+def test_no_second_search_where_no_query_is_short(spark, monkeypatch):
+    from skyhive.operators import neighbours
+
+    rows = spark.range(6).select(F.concat(F.lit("s"), "id").alias("station_id"), F.lit(10.0).alias("lat"), (70 + F.col("id") / 5).alias("lon"),
+                                 F.lit("2024-01-01").cast("date").alias("period"), F.col("id").cast("double").alias("value"))
+    placed = neighbours.station_cells(rows, 7)
+    monkeypatch.setattr(neighbours, "_second_search", lambda *a: pytest.fail("searched again for no query"))
+    out = neighbour_features(placed, placed, k=2).where("n_reporting = 5 AND dist_nearest_km > 0 AND neighbour_nearest IS NOT NULL")
+    assert out.count() == 6
+
+
+def test_band_tables_read_periods_once(spark, tmp_path):
+    from skyhive.operators import validate
+
+    spark.range(60).select(F.concat(F.lit("s"), F.col("id") % 7).alias("station_id"), F.when(F.col("id") % 2 == 0, "idw_k8").otherwise("m").alias("model"),
+                           F.lit("0-20 km").alias("band"), F.col("id").cast("double").alias("actual"),
+                           (F.col("id") + F.col("id") % 5).cast("double").alias("predicted")).write.parquet(str(tmp_path / "periods"))
+    periods = spark.read.parquet(str(tmp_path / "periods"))
+    full, means = validate.band_table(periods), validate.band_errors(periods)
+    read = lambda df: [leaf.toString() for leaf in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        df._jdf.queryExecution().optimizedPlan().collectLeaves())]
+    assert not any("actual" in leaf for leaf in read(full))  # only sums by station are read again
+    assert len(read(means)) == 1
+    assert sorted(means.collect()) == sorted(full.select(*means.columns).collect())
