@@ -591,3 +591,38 @@ def test_band_tables_read_periods_once(spark, tmp_path):
     assert not any("actual" in leaf for leaf in read(full))  # only sums by station are read again
     assert len(read(means)) == 1
     assert sorted(means.collect()) == sorted(full.select(*means.columns).collect())
+
+
+def test_served_days_and_levels_share_one_table_of_values(spark, monkeypatch):
+    import threading
+
+    from skyhive.registry import validation
+
+    made, both = [], threading.Barrier(2, timeout=60)
+    one = spark.createDataFrame([("a", 10.0, 12.0, "0-20 km")], "station_id string, neighbour_idw double, value double, band string")
+    period = F.lit("2024-01-01").cast("date").alias("period")
+    monkeypatch.setattr(validation, "observations", lambda *a: made.append(1) or one)
+    monkeypatch.setattr(validation, "bare_days", lambda *a: {"grid": one, "rows": one})
+
+    def hidden_features(values, k):
+        both.wait()  # passes only while the other side is under way
+        return values.select("station_id", period, "neighbour_idw", F.col("value").alias("actual"), "band", F.lit(1.0).alias("dist_nearest_km"))
+
+    def serving_rows(grid, days, values, k):
+        both.wait()
+        return values.select(geo.pack(F.lit(5), F.lit(3).cast("bigint"), F.lit(4).cast("bigint")).alias("cell"), "neighbour_idw", F.col("value").alias("neighbour_nearest"),
+                             F.lit(5.0).alias("dist_nearest_km"))
+
+    monkeypatch.setattr(validation.V, "hidden_features", hidden_features)
+    monkeypatch.setattr(validation.P, "serving_rows", serving_rows)
+    row = validation.predicted_days(spark, "unused").first()
+    assert made == [1] and (row.pm25, row.confidence) == (10.0, 0)
+    assert row.rel_error_pct == 16.7 and row.uncertainty == pytest.approx(1.67)  # off by 2 of 12
+
+
+def test_steps_side_by_side_keep_order_and_errors(spark):
+    from skyhive.session import side_by_side
+
+    assert side_by_side(spark, lambda: spark.range(3).count(), lambda: 5) == [3, 5]
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, lambda: 1, lambda: 1 / 0)
