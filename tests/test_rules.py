@@ -626,3 +626,21 @@ def test_steps_side_by_side_keep_order_and_errors(spark):
     assert side_by_side(spark, lambda: spark.range(3).count(), lambda: 5) == [3, 5]
     with pytest.raises(ZeroDivisionError):
         side_by_side(spark, lambda: 1, lambda: 1 / 0)
+
+
+def test_radius_pairs_cost_no_cosine(spark, tmp_path):
+    day = F.lit("2024-01-02").cast("date").alias("date")
+    # both sides from files, or the planner works the join out by itself
+    spark.range(40).select(F.col("id").alias("region_cell"), (20 + F.col("id") / 10).alias("lat"), F.lit(75.0).alias("lon"), day,
+                           (F.col("id") % 3).cast("double").alias("u10"), F.lit(1.0).alias("v10"), F.lit(2).cast("bigint").alias("n"),
+                           F.lit(3.0).alias("frp")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    out = fires.radius_sums(rows.select("region_cell", "lat", "lon"), rows.select("date", "n", "frp", "lat", "lon"),
+                            rows.select("region_cell", "date", "u10", "v10"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = plan[:next(i for i, line in enumerate(plan) if "Join Inner" in line) + 1]
+    # the condition of the join draws its root; neither it nor what follows needs a cosine or the wind's speed again
+    assert not any("COS(" in line or "HYPOT(u10" in line for line in above)
+    got = {r.region_cell: r.fires_150km for r in out.collect()}
+    near = lambda i: sum(abs(i - j) / 10 * geo.KM_PER_DEGREE_LAT <= 150 for j in range(40))
+    assert got == {i: 2.0 * near(i) for i in range(40)}
